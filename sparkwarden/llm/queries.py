@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontaminate, langid, sharding, simhash, token_files, toxicity
+from . import bpe, common, decontaminate, html_extract, langid, sharding, simhash, token_files, toxicity, winnow
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(common.table(spark, sf_dir, "documents"))
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(common.table(spark, sf_dir, "pages"))
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(common.table(spark, sf_dir, "documents"))
 
@@ -47,8 +51,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(common.table(spark, sf_dir, "documents"))
 
 
+def op9_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.compare_with_next(common.table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe, op2_token_files, op3_sharding, op5_langid, op6_toxicity, op7_decontaminate, op8_simhash)}
+    return {f.__name__: f for f in (op1_bpe, op2_token_files, op3_sharding, op4_html, op5_langid, op6_toxicity, op7_decontaminate, op8_simhash, op9_winnow)}
 
 
 def oracle_sql() -> dict[str, str]:

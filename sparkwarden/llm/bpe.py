@@ -20,6 +20,7 @@ each input row, repeated rows included. Other columns are not read.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import heapq
 import re
@@ -39,9 +40,9 @@ SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A run of white space with what follows: the pattern never matches across these units.
 UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 #: Text bytes of a block.
-BLOCK_BYTES = 6 << 20
-#: Units whose ids a worker keeps; beyond it, it forgets them all and begins anew.
-KEEP_UNITS = 400_000
+BLOCK_BYTES = 12 << 20
+#: Units whose ids a worker keeps; beyond it, it forgets those not met since it last forgot.
+KEEP_UNITS = 300_000
 _NONE = np.iinfo(np.int32).max
 
 
@@ -114,6 +115,21 @@ def replay(words: list[bytes], v: Ranks) -> list[tuple[int, ...]]:
     for a, b in zip(cuts, np.append(cuts[1:], len(live)), strict=True):
         index[int(pair[live[a]])] = [live[a:b]]
     heap = sorted(index)
+    mark = np.zeros(n + 1, bool)
+
+    def marked(positions: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Which of ``at`` are among ``positions``."""
+        mark[positions] = True
+        out = mark[at]
+        mark[positions] = False
+        return out
+
+    def ascending(x: np.ndarray) -> np.ndarray:
+        """Distinct positions in order."""
+        x = np.sort(x)
+        keep = np.ones(len(x), bool)
+        np.not_equal(x[1:], x[:-1], out=keep[1:])
+        return x[keep]
 
     def add(positions: np.ndarray) -> None:
         r = pair[positions]
@@ -134,14 +150,15 @@ def replay(words: list[bytes], v: Ranks) -> list[tuple[int, ...]]:
     while heap:
         rank = heapq.heappop(heap)
         parts = index.pop(rank)
-        at = parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
+        at = parts[0] if len(parts) == 1 else ascending(np.concatenate(parts))
         at = at[pair[at] == rank]
         if not len(at):
             continue
         take = _without_overlap(at, after)
         right = after[take]
-        new_left = v.rank(np.where(np.isin(before[take], right), rank, sym[before[take]]), np.full(len(take), rank)) if len(take) > 1 else v.rank(sym[before[take]], np.array([rank]))
-        new_right = v.rank(np.full(len(take), rank), sym[after[right]])
+        prior, made = before[take], np.full(len(take), rank)
+        new_left = v.rank(np.where(marked(right, prior), rank, sym[prior]), made)
+        new_right = v.rank(made, sym[after[right]])
         if (new_left < rank).any() or (new_right < rank).any():  # a lower rank appears: one merge a word, then look again
             first = np.ones(len(at), bool)
             first[1:] = word[at[1:]] != word[at[:-1]]
@@ -153,8 +170,7 @@ def replay(words: list[bytes], v: Ranks) -> list[tuple[int, ...]]:
             take = at[first]
             right = after[take]
         elif len(take) < len(at):  # what overlapped may be a pair again
-            rest = np.setdiff1d(at, take, assume_unique=True)
-            rest = rest[~np.isin(rest, right)]
+            rest = at[~marked(take, at) & ~marked(right, at)]
             if len(rest):
                 index.setdefault(rank, []).append(rest)
                 heapq.heappush(heap, rank)
@@ -169,7 +185,7 @@ def replay(words: list[bytes], v: Ranks) -> list[tuple[int, ...]]:
         prior = before[take]
         prior = prior[(prior >= 0) & (prior < n)]
         pair[prior] = v.rank(sym[prior], sym[after[prior]])
-        add(np.unique(np.concatenate([take, prior])))
+        add(ascending(np.concatenate([take, prior])))
     kept = np.flatnonzero(sym[:n] >= 0)
     ids = sym[kept].tolist()
     cut = np.searchsorted(kept, ends).tolist()
@@ -180,22 +196,45 @@ class Coder:
     """Encodes texts block by block and keeps the ids of units it has met."""
 
     def __init__(self, path: str, pattern: str):
-        self.v, self.split, self.known = ranks_at(path), regex.compile(pattern), {}
+        self.v, self.split = ranks_at(path), regex.compile(pattern)
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
-    def encode(self, texts: list[str]) -> Iterator[list[int]]:
-        cut = [UNIT.findall(t) for t in texts]
+    def learn(self, units: set[str]) -> None:
         if len(self.known) > KEEP_UNITS:
-            self.known.clear()
-        new = [u for u in set(chain.from_iterable(cut)) if u not in self.known]
-        if new:
-            pieces = [[w.encode() for w in self.split.findall(u)] for u in new]
-            distinct = list(set(chain.from_iterable(pieces)))
-            ids = dict(zip(distinct, replay(distinct, self.v), strict=True))
-            for u, p in zip(new, pieces, strict=True):
-                self.known[u] = ids[p[0]] if len(p) == 1 else tuple(chain.from_iterable(ids[w] for w in p))
+            self.known, self.older = {}, self.known
+        new = []
+        for u in units.difference(self.known):
+            ids = self.older.get(u)
+            if ids is None:
+                new.append(u)
+            else:
+                self.known[u] = ids
+        find, number, at, pieces = self.split.findall, {}, [], []
+        for u in new:
+            words = find(u)
+            at.append(len(words))
+            pieces += [number.setdefault(w, len(number)) for w in words]
+        ids, i = replay([w.encode() for w in number], self.v), 0
+        for u, k in zip(new, at, strict=True):
+            self.known[u] = ids[pieces[i]] if k == 1 else tuple(chain.from_iterable([ids[p] for p in pieces[i : i + k]]))
+            i += k
+
+    def encode(self, texts: list[str]) -> Iterator[list[int]]:
+        collecting = gc.isenabled()
+        gc.disable()  # nothing here has cycles, and the many tuples are slow to look through
+        try:
+            cut = [UNIT.findall(t) for t in texts]
+            units: set[str] = set()
+            for c in cut:
+                units.update(c)
+            self.learn(units)
+        finally:
+            if collecting:
+                gc.enable()
         of = self.known.__getitem__
-        for units in cut:
-            yield list(chain.from_iterable(map(of, units)))
+        for c in cut:
+            yield list(chain.from_iterable(map(of, c)))
 
 
 _coder: dict[tuple[str, str], Coder] = {}

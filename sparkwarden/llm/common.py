@@ -80,6 +80,23 @@ def bucket_of(col: Column, bounds: list[int]) -> Column:
     return F.when(col.isNull(), F.lit(0)).otherwise(pick(0, len(bounds)))
 
 
+#: Rows of keys that may be sent to every task; a larger table is joined by a shuffle.
+BROADCAST_ROWS = 100_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, marked for broadcast if it has been counted to at most BROADCAST_ROWS rows.
+
+    ``df`` should be a written table, as it is read twice.
+    """
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id isn't among ``ids`` (one column, __id)."""
+    return docs.join(small(ids), docs[id_col].cast("long") == ids["__id"], "left_anti")
+
+
 def slices(batches: Iterator[pa.RecordBatch], text_at: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Each batch cut into runs of rows with at most ``limit`` text bytes (one row at least)."""
     import numpy as np

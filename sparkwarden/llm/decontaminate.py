@@ -291,3 +291,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
         "ends",
         ((n_hit > 0) & (SHARE * n_hit >= F.col("n_words"))).alias("contaminated"),
     )
+
+
+def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, without those whose id is contaminated. Rows with a null id stay."""
+    found = contamination(docs, items, window, id_col, text_col).filter("contaminated and doc_id is not null")
+    return common.without(docs, common.written(found.select(F.col("doc_id").alias("__id")).distinct(), "contaminated"), id_col)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontaminate, html_extract, langid, sharding, simhash, token_files, toxicity, winnow
+from . import bpe, common, decontaminate, html_extract, langid, sharding, simhash, substring, token_files, toxicity, winnow
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,8 +55,12 @@ def op9_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.compare_with_next(common.table(spark, sf_dir, "documents"))
 
 
+def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.passages(common.table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe, op2_token_files, op3_sharding, op4_html, op5_langid, op6_toxicity, op7_decontaminate, op8_simhash, op9_winnow)}
+    return {f.__name__: f for f in (op1_bpe, op2_token_files, op3_sharding, op4_html, op5_langid, op6_toxicity, op7_decontaminate, op8_simhash, op9_winnow, op10_substring)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -180,3 +180,17 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_print = common.written(rooted.join(least, "root").select("fp", "component_id"), "simhash-components")
     return prints.join(of_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def deduplicate(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, without those that aren't the smallest id of their component.
+
+    Rows that repeat an id and text count as one document, and one of them
+    stays. Rows with a null id stay.
+    """
+    found = near_duplicates(docs, radius, id_col, text_col).filter("doc_id is not null")
+    found = common.written(found.select("doc_id", "component_id"), "simhash-groups")
+    losers = common.written(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct(), "simhash-losers")
+    kept = common.without(docs, losers, id_col)
+    repeated = found.groupBy("doc_id").count().filter("count > 1").limit(1).count()
+    return kept.dropDuplicates([id_col, text_col]) if repeated else kept

@@ -1,0 +1 @@
+"""Operators: parsing, features, index, neighbours, decision, evaluation."""

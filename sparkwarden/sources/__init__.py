@@ -1,0 +1 @@
+"""Readers, writers and the schemas they share."""

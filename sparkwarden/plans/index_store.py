@@ -34,7 +34,7 @@ def build(refs: DataFrame, nlist: int = ops.NLIST, block: int = ops.BLOCK, sampl
     assigned = ops.assign(points, centroids).select("ref_id", "list_id", "radius")
     # the same rows in the same order of ids: only ids and places pass through the shuffle of the layout
     laid_out = ops.kept(ops.layout(assigned, block), "layout")
-    vectors = refs.join(laid_out, "ref_id")
+    vectors = ops.kept(refs.join(laid_out, "ref_id").sortWithinPartitions("list_id", "radius"), "vectors")
     stats = ops.list_stats(laid_out, block)
     return Index(centroids, stats, ops.block_stats(laid_out), vectors, ops.meta(refs.sparkSession, nlist, block, refs.count()))
 

@@ -1,0 +1,39 @@
+"""Every query with SQL against DuckDB, on the smallest tables."""
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+from sparkwarden.plans import catalogue
+
+SF = "/root/testdata/sf0.001"
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@pytest.fixture(scope="module")
+def con():
+    c = duckdb.connect()
+    for t in TABLES:
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    return c
+
+
+def text(row):
+    return tuple(str(x) for x in row)
+
+
+@pytest.mark.parametrize("name", sorted(catalogue.SQL))
+def test_query_equals_sql(spark, con, name):
+    df = entry.queries()[name](spark, SF)
+    got, want = df.select(*sorted(df.columns)), con.sql(entry.oracle_sql()[name])
+    assert sorted(df.columns) == sorted(want.columns)
+    rows = con.sql(entry.oracle_sql()[name]).select(*[f'"{c}"' for c in sorted(want.columns)]).fetchall()
+    assert sorted(map(text, got.collect())) == sorted(map(text, rows))
+
+
+def test_trained_centroids(spark):
+    assert catalogue.kmeans_train(spark, SF).count() == catalogue.NLIST
+
+
+def test_entry(spark):
+    assert entry.entry(spark).count() == 10

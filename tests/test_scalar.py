@@ -1,0 +1,79 @@
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from sparkwarden.functions import scalar
+
+STEP = np.float32(1) / np.float32(65534)
+
+
+def one(spark, *columns):
+    return spark.range(1).select(*columns).first()
+
+
+def numpy_round_trip(x: float) -> float:
+    clamped = np.float32(min(max(x, 0.0), 1.0))
+    q = int(np.floor(np.float64(np.float32(clamped * np.float32(65534))) + 0.5))
+    return float(np.float32(q) * STEP)
+
+
+def test_clamp(spark):
+    xs = [-1.0, 0.0, 0.5, 1.0, 7.0]
+    rows = spark.createDataFrame([(x,) for x in xs], "x double").select(scalar.clamp01(F.col("x")).alias("c")).collect()
+    assert [r.c for r in rows] == [0.0, 0.0, 0.5, 1.0, 1.0]
+
+
+def test_quantize_ends_and_missing(spark):
+    rows = spark.createDataFrame([(x,) for x in (-1.0, 0.0, 1.0, 2.0)], "x float").select(scalar.quantize(F.col("x")).alias("q"), scalar.dequantize(scalar.quantize(F.col("x"))).alias("d")).collect()
+    assert [r.q for r in rows] == [65535, 0, 65534, 65534]
+    assert [r.d for r in rows] == [-1.0, 0.0, 1.0, 1.0]
+
+
+def test_quantizing_error_is_bounded(spark):
+    xs = [float(np.float32(i / 997)) for i in range(998)]
+    rows = spark.createDataFrame([(x,) for x in xs], "x float").select("x", scalar.dequantize(scalar.quantize(F.col("x"))).alias("d")).collect()
+    assert max(abs(r.x - r.d) for r in rows) <= 1 / 131068 + 1e-7
+    assert all(r.d == numpy_round_trip(r.x) for r in rows)
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.floats(0, 1, width=32), min_size=14, max_size=14), st.lists(st.floats(0, 1, width=32), min_size=14, max_size=14))
+def test_distance_adds_in_slot_order(spark, a, b):
+    got = one(spark, scalar.distance_sq([F.lit(x).cast("float") for x in a], [F.lit(x).cast("float") for x in b]).alias("d")).d
+    want = np.float32(0)
+    for x, y in zip(np.float32(a), np.float32(b), strict=True):
+        want = np.float32(want + (x - y) * (x - y))
+    assert got == float(want)
+
+
+def test_dates(spark):
+    t = spark.createDataFrame([("2026-03-11T20:23:35Z",), ("2026-02-30T00:00:00Z",), ("2026-03-11T20:23:35",), ("2026-03-11T20:23:35.1Z",), (None,)], "s string")
+    rows = t.select(scalar.iso_timestamp(F.col("s")).alias("t")).select("t", scalar.weekday_monday0(F.col("t")).alias("w"), scalar.epoch_days(F.col("t")).alias("d")).collect()
+    assert rows[0].w == 2 and rows[0].d == 20523
+    assert all(r.t is None for r in rows[1:])
+
+
+def test_minutes_are_truncated_before_subtracting(spark):
+    a, b = (scalar.epoch_minutes(scalar.iso_timestamp(F.lit(s))) for s in ("2026-01-01T10:00:59Z", "2026-01-01T10:01:00Z"))
+    assert one(spark, (b - a).alias("m")).m == 1
+
+
+def test_risk_by_case_and_by_join(spark):
+    df = spark.createDataFrame([(m,) for m in ("5411", "7995", "9999", None)], "mcc string")
+    case = [r.r for r in df.select(scalar.mcc_risk(F.col("mcc")).alias("r")).collect()]
+    assert case == pytest.approx([0.15, 0.85, 0.5, 0.5])
+    joined = {r.mcc: r.mcc_risk for r in scalar.join_mcc_risk(df).collect()}
+    assert [joined[m] for m in ("5411", "7995", "9999", None)] == case
+
+
+def test_lower_bound(spark):
+    r = one(spark, scalar.lower_bound_sq(F.lit(1.0), F.lit(2.0)).alias("a"), scalar.lower_bound_sq(F.lit(3.0), F.lit(1.0)).alias("b"))
+    assert (r.a, r.b) == (0.0, 4.0)
+
+
+def test_pack_follows_the_published_order(spark):
+    vector = [i / 20 for i in range(14)]
+    row = spark.createDataFrame([(vector,)], "v array<double>").select(*scalar.pack(F.col("v"))).first()
+    assert [round(x / 65534 * 20) for x in row] == scalar.SPEC_OF_SLOT

@@ -63,5 +63,22 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_bpe, op2_token_files, op3_sharding, op4_html, op5_langid, op6_toxicity, op7_decontaminate, op8_simhash, op9_winnow, op10_substring)}
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_OP7 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+win AS (SELECT DISTINCT item, unnest(CASE WHEN len(w) >= {decontaminate.WINDOW} THEN list_transform(range(1, len(w) - {decontaminate.WINDOW} + 2), lambda i: w[i:i + {decontaminate.WINDOW} - 1]) WHEN len(w) > 0 THEN [w] ELSE [] END) AS p FROM b),
+sizes AS (SELECT DISTINCT len(p) AS n FROM win),
+spots AS (SELECT r, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n),
+found AS (SELECT s.r, s.i, s.n, win.item FROM spots s JOIN d USING (r) JOIN win ON d.w[s.i:s.i + s.n - 1] = win.p),
+hits AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(i, i + n)) AS k FROM found) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM found) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND {decontaminate.SHARE} * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hits USING (r) LEFT JOIN items USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL has no XXH64, crc32, byte-pair merges or learnt models; those queries are held against brute force in the tests."""
+    return {"op7_decontaminate": _OP7}

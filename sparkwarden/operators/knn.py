@@ -13,7 +13,7 @@ quantized.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,8 @@ from .index import NPROBE
 K = 5
 #: Queries that one pass over the references carries: 14 floats and an id each.
 QUERY_BLOCK = 4096
+#: Queries that ``exact`` may send to every task.
+EXACT_QUERIES = 65_536
 #: Slack for bounds whose radii and distances were rounded to single precision.
 SLACK = 1e-5
 
@@ -48,9 +50,9 @@ def top(found: DataFrame, k: int = K, order: tuple[str, ...] = ("d", "ref_id"),
 
 
 def exact(queries: DataFrame, refs: DataFrame, k: int = K) -> DataFrame:
-    """qid, rank, ref_id, label, d. ``refs`` are quantized; ``queries`` must be at most QUERY_BLOCK rows."""
-    if queries.limit(QUERY_BLOCK + 1).count() > QUERY_BLOCK:
-        raise ValueError(f"exact() takes at most {QUERY_BLOCK} queries; use kernel()")
+    """qid, rank, ref_id, label, d. ``refs`` are quantized; ``queries`` must be at most EXACT_QUERIES rows."""
+    if queries.limit(EXACT_QUERIES + 1).count() > EXACT_QUERIES:
+        raise ValueError(f"exact() takes at most {EXACT_QUERIES} queries; use kernel()")
     pairs = refs.select("ref_id", "label", *scalar.unpack()).crossJoin(F.broadcast(_renamed(queries)))
     return top(pairs.select("qid", "ref_id", "label", _distance().alias("d")), k).select("qid", "rank", "ref_id", "label", "d")
 
@@ -86,35 +88,82 @@ def _nearest(matrix: np.ndarray, slots: list[np.ndarray], ids: np.ndarray, k: in
 
 def kernel(queries: DataFrame, refs: DataFrame, k: int = K, block: int = QUERY_BLOCK) -> DataFrame:
     """qid, rank, ref_id, label, d, by one numpy pass over the references for each block of queries."""
-    spark, rest, out = queries.sparkSession, [], None
-    names = ["qid", *SLOTS]
+    spark = queries.sparkSession
 
     def search(held: list) -> DataFrame:
-        ids = [r[0] for r in held]
-        matrix = np.array([list(r)[1:] for r in held], np.float32).reshape(len(held), len(SLOTS))
-        sent = spark.sparkContext.broadcast((ids, matrix))  # at most ``block`` rows
+        qid, matrix = np.array([r["qid"] for r in held], np.int64), _matrix(held)
+        sent = spark.sparkContext.broadcast((qid, matrix))  # at most ``block`` rows
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, matrix = sent.value
-            qid = np.array(ids, np.int64)
+            qid, matrix = sent.value
             for whole in batches:
                 for at in range(0, whole.num_rows, 4096):
                     batch = whole.slice(at, 4096)
-                    ref = batch.column(0).to_numpy()
-                    label, slots = batch.column(1).to_numpy(), _decode(batch)
+                    ref, label, slots = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _decode(batch)
                     for q0 in range(0, len(qid), 512):
                         q, place, d = _nearest(matrix[q0 : q0 + 512], slots, ref, k)
-                        yield pa.RecordBatch.from_arrays([pa.array(qid[q0 + q]), pa.array(ref[place]), pa.array(label[place].astype(np.int32)), pa.array(d)], names=["qid", "ref_id", "label", "d"])
+                        yield _found(qid[q0 + q], ref[place], label[place], d)
+
+        return refs.select("ref_id", "label", *SLOTS).mapInArrow(run, FOUND_SQL)
+
+    rows = queries.select(F.col("qid").cast("long").alias("qid"), *SLOTS)
+    return top(_in_blocks(rows, search, block), k).select("qid", "rank", "ref_id", "label", "d")
+
+
+FOUND_SQL = "qid long, ref_id long, label int, d float"
+
+
+def _found(qid: np.ndarray, ref: np.ndarray, label: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(qid), pa.array(ref), pa.array(label.astype(np.int32)), pa.array(d)], names=["qid", "ref_id", "label", "d"])
+
+
+def _matrix(held: list) -> np.ndarray:
+    return np.array([[r[s] for s in SLOTS] for r in held], np.float32).reshape(len(held), len(SLOTS))
+
+
+def _in_blocks(rows: DataFrame, search: Callable[[list], DataFrame], block: int) -> DataFrame:
+    """The union of ``search`` over blocks of the rows; the driver holds one block at a time."""
+    held, out = [], None
+    for row in rows.toLocalIterator():
+        held.append(row)
+        if len(held) == block:
+            out, held = search(held) if out is None else out.union(search(held)), []
+    return out if out is not None and not held else search(held) if out is None else out.union(search(held))
+
+
+def _probe_scan(queries: DataFrame, probes: DataFrame, index: Index, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+    """The k nearest of each query among the vectors of its probed lists.
+
+    Vectors stream by, as in ``kernel``; each is only held against the queries
+    that probe its list. A pass carries ``block`` queries and their probes.
+    """
+    spark = queries.sparkSession
+    lists = probes.groupBy("qid").agg(F.collect_list("list_id").alias("lists"))  # nprobe each
+
+    def search(held: list) -> DataFrame:
+        by_list: dict[int, list[int]] = {}
+        for i, r in enumerate(held):
+            for x in r["lists"]:
+                by_list.setdefault(x, []).append(i)
+        sent = spark.sparkContext.broadcast((np.array([r["qid"] for r in held], np.int64), _matrix(held), {x: np.array(v) for x, v in by_list.items()}))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            qid, matrix, by_list = sent.value
+            for batch in batches:
+                ref, label, of, slots = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), _decode(batch)
+                order = np.argsort(of, kind="stable")
+                cuts = np.flatnonzero(np.r_[True, np.diff(of[order]) != 0]) if len(of) else []
+                for begin, end in zip(cuts, [*cuts[1:], len(of)], strict=False):
+                    for at in np.array_split(order[begin:end], -(-(end - begin) // 4096)):
+                        asked = by_list.get(int(of[at[0]]))
+                        for part in [] if asked is None else np.array_split(asked, -(-len(asked) // 512)):
+                            q, place, d = _nearest(matrix[part], [s[at] for s in slots], ref[at], k)
+                            yield _found(qid[part[q]], ref[at[place]], label[at[place]], d)
 
-        return refs.select("ref_id", "label", *SLOTS).mapInArrow(run, "qid long, ref_id long, label int, d float")
+        return index.vectors.select("ref_id", "label", "list_id", *SLOTS).mapInArrow(run, FOUND_SQL)
 
-    for row in queries.select(F.col("qid").cast("long").alias("qid"), *SLOTS).select(*names).toLocalIterator():
-        rest.append(row)
-        if len(rest) == block:
-            out, rest = search(rest) if out is None else out.union(search(rest)), []
-    if rest or out is None:
-        out = search(rest) if out is None else out.union(search(rest))
-    return top(out, k).select("qid", "rank", "ref_id", "label", "d")
+    rows = queries.select(F.col("qid").cast("long").alias("qid"), *SLOTS).join(lists, "qid")
+    return top(_in_blocks(rows, search, block), k)
 
 
 def probe_lists(queries: DataFrame, index: Index, nprobe: int = NPROBE) -> DataFrame:
@@ -129,10 +178,11 @@ def centre_distances(queries: DataFrame, index: Index) -> DataFrame:
     return pairs.select("qid", "list_id", F.sqrt(scalar.distance_sq(scalar.slots("q_"), centres)).cast("float").alias("cd"))
 
 
-def _scan(wanted: DataFrame, queries: DataFrame, index: Index, on: list[str]) -> DataFrame:
-    """Distances between queries and the vectors of their lists or blocks."""
-    vectors = index.vectors.select("ref_id", "label", *on, *scalar.unpack())
-    return wanted.join(_renamed(queries), "qid").join(vectors, on).select("qid", "ref_id", "label", _distance().alias("d"))
+def _block_scan(wanted: DataFrame, queries: DataFrame, index: Index) -> DataFrame:
+    """Of the vectors in the wanted blocks (qid, list_id, block_id, tau), those no farther than tau."""
+    vectors = index.vectors.select("ref_id", "label", "list_id", "block_id", *scalar.unpack())
+    found = wanted.select("qid", "list_id", "block_id", "tau").join(_renamed(queries), "qid").join(vectors, ["list_id", "block_id"])
+    return found.select("qid", "ref_id", "label", "tau", _distance().alias("d")).filter("d <= tau").drop("tau")
 
 
 def unprobed(queries: DataFrame, index: Index, probes: DataFrame) -> DataFrame:
@@ -166,11 +216,11 @@ def ivf(queries: DataFrame, index: Index, k: int = K, nprobe: int = NPROBE) -> D
 
 def ivf_steps(queries: DataFrame, index: Index, k: int = K, nprobe: int = NPROBE) -> dict[str, DataFrame]:
     probes = kept(probe_lists(queries, index, nprobe), "probes")
-    first = kept(top(_scan(probes.select("qid", "list_id"), queries, index, ["list_id"]), k), "first-pass")
+    first = kept(_probe_scan(queries, probes, index, k), "first-pass")
     tau = taus(first, queries, k)
     lists = candidate_lists(unprobed(queries, index, probes), index, tau)
     blocks = kept(candidate_blocks(lists, index), "candidate-blocks")
-    more = _scan(blocks.select("qid", "list_id", "block_id", "tau"), queries, index, ["list_id", "block_id"])
+    more = _block_scan(blocks, queries, index)
     both = first.drop("rank").unionByName(more)
     result = top(both, k).select("qid", "rank", "ref_id", "label", "d")
     return {"probes": probes, "first": first, "tau": tau, "lists": lists, "blocks": blocks, "result": result}
@@ -198,10 +248,10 @@ def array_neighbours(queries: DataFrame, refs: DataFrame, k: int = K, id_col: st
 
     Queries go to the tasks in blocks of QUERY_BLOCK; references stream past.
     """
-    spark, rest, out = queries.sparkSession, [], None
+    spark = queries.sparkSession
 
     def search(held: list) -> DataFrame:
-        sent = spark.sparkContext.broadcast(([r[0] for r in held], np.array([r[1] for r in held], np.float64)))
+        sent = spark.sparkContext.broadcast((np.array([r["i"] for r in held], np.int64), np.array([r["v"] for r in held], np.float64)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, matrix = sent.value
@@ -210,26 +260,21 @@ def array_neighbours(queries: DataFrame, refs: DataFrame, k: int = K, id_col: st
                     batch = whole.slice(at, 2048)
                     ref = batch.column(0).to_numpy()
                     vectors = np.array(batch.column(1).to_pylist(), np.float64)
-                    for n, (i, v) in enumerate(zip(ids, matrix, strict=True)):
+                    for i, v in zip(ids.tolist(), matrix, strict=True):
                         gap = vectors - v
                         d = (gap * gap).sum(1)
                         d[ref == i] = np.inf
-                        q, place, far = _first(d, ref, k)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), ids[n])), pa.array(ref[place]), pa.array(far)], names=["q_id", "r_id", "d"])
+                        place, far = _first(d, ref, k)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), i)), pa.array(ref[place]), pa.array(far)], names=["q_id", "r_id", "d"])
 
         return refs.select(F.col(id_col).cast("long"), vector_col).mapInArrow(run, "q_id long, r_id long, d double")
 
-    for row in queries.select(F.col(id_col).cast("long").alias("i"), vector_col).toLocalIterator():
-        rest.append((row[0], row[1]))
-        if len(rest) == QUERY_BLOCK:
-            out, rest = search(rest) if out is None else out.union(search(rest)), []
-    if rest or out is None:
-        out = search(rest) if out is None else out.union(search(rest))
-    return top(out, k, ("d", "r_id"), "q_id").select("q_id", "rank", "r_id", "d")
+    rows = queries.select(F.col(id_col).cast("long").alias("i"), F.col(vector_col).alias("v"))
+    return top(_in_blocks(rows, search, QUERY_BLOCK), k, ("d", "r_id"), "q_id").select("q_id", "rank", "r_id", "d")
 
 
-def _first(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[None, np.ndarray, np.ndarray]:
+def _first(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     at = np.flatnonzero(d <= (np.partition(d, k - 1)[k - 1] if len(d) > k else np.inf))
     at = at[np.isfinite(d[at])]
     at = at[np.lexsort([ids[at], d[at]])][:k]
-    return None, at, d[at]
+    return at, d[at]

@@ -40,10 +40,10 @@ def _features(spark: SparkSession, sf_dir: str, hot: bool = False) -> DataFrame:
 
 
 def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Queries (qid, slots, borderline, label) and quantized references."""
+    """Queries (every 20th transaction: qid, slots, borderline, label) and quantized references (all)."""
     f = kept(_features(spark, sf_dir), "features")
     queries = f.filter(tx.is_query()).withColumnRenamed("tx_id", "qid")
-    refs = f.filter(~tx.is_query()).select(F.col("tx_id").alias("ref_id"), "label", *[scalar.quantize(F.col(s)).alias(s) for s in SLOTS])
+    refs = f.select(F.col("tx_id").alias("ref_id"), "label", *[scalar.quantize(F.col(s)).alias(s) for s in SLOTS])
     return queries, refs
 
 
@@ -106,8 +106,8 @@ def _gap(a: str, b: Callable[[int], str]) -> str:
 
 
 _REFS = f"""
-q AS (SELECT tx_id AS qid, * EXCLUDE (tx_id) FROM f WHERE tx_id % 100 = 7),
-u AS (SELECT tx_id AS ref_id, label, {_QUANTIZED} FROM f WHERE tx_id % 100 <> 7),
+q AS (SELECT tx_id AS qid, * EXCLUDE (tx_id) FROM f WHERE tx_id % 20 = 0),
+u AS (SELECT tx_id AS ref_id, label, {_QUANTIZED} FROM f),
 r AS (SELECT ref_id, label, {_DEQUANTIZED} FROM u)"""
 _NEAREST = f"""
 pairs AS (SELECT q.qid, r.ref_id, r.label, {_gap("q", lambda i: f"r.s{i}")} AS d FROM q CROSS JOIN r),
@@ -203,7 +203,7 @@ def dequantize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_with(f"SELECT slot, round(max(abs(CAST(a AS DOUBLE) - CAST(b AS DOUBLE))), 9) AS worst, count(*) AS n FROM ({' UNION ALL '.join(f'''SELECT 's{i}' AS slot, f.s{i} AS a, r.s{i} AS b FROM f JOIN r ON f.tx_id = r.ref_id''' for i in range(scalar.DIM))}) GROUP BY slot", _FEATURES, _REFS))
 def quant_error_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _features(spark, sf_dir).filter(~tx.is_query())
+    f = _features(spark, sf_dir)
     gaps = f.select(F.explode(F.array(*[F.struct(F.lit(s).alias("slot"), F.abs(F.col(s).cast("double") - scalar.dequantize(scalar.quantize(F.col(s))).cast("double")).alias("gap")) for s in SLOTS])).alias("x"))
     return gaps.groupBy("x.slot").agg(F.round(F.max("x.gap"), 9).alias("worst"), F.count("*").alias("n"))
 
@@ -326,12 +326,12 @@ def score_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "WITH p AS (SELECT q.vec_id AS q_id, r.vec_id AS r_id, list_sum(list_transform(list_zip(CAST(q.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS d"
-    " FROM embeddings q JOIN embeddings r ON q.vec_id % 10 = 0 AND q.vec_id <> r.vec_id)"
+    " FROM embeddings q JOIN embeddings r ON q.vec_id % 20 = 0 AND q.vec_id <> r.vec_id)"
     " SELECT q_id, rank, r_id, round(d, 9) AS d FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY d, r_id) AS rank FROM p) WHERE rank <= 5"
 )
 def knn_embeddings_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    found = knn.array_neighbours(e.filter("vec_id % 10 = 0"), e)
+    found = knn.array_neighbours(e.filter("vec_id % 20 = 0"), e)
     return found.select("q_id", F.col("rank").cast("long").alias("rank"), "r_id", F.round("d", 9).alias("d"))
 
 

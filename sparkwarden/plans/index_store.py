@@ -34,17 +34,23 @@ def build(refs: DataFrame, nlist: int = ops.NLIST, block: int = ops.BLOCK, sampl
     assigned = ops.assign(points, centroids).select("ref_id", "list_id", "radius")
     # the same rows in the same order of ids: only ids and places pass through the shuffle of the layout
     laid_out = ops.kept(ops.layout(assigned, block), "layout")
-    vectors = ops.kept(refs.join(laid_out, "ref_id").sortWithinPartitions("list_id", "radius"), "vectors")
+    vectors = ops.kept(_dealt(refs.join(laid_out, "ref_id")), "vectors")
     stats = ops.list_stats(laid_out, block)
     return Index(centroids, stats, ops.block_stats(laid_out), vectors, ops.meta(refs.sparkSession, nlist, block, refs.count()))
 
 
+def _dealt(vectors: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Ranges of (list_id, radius): lists lie together, and a list of any size is cut."""
+    keys = ("list_id", "radius", "ref_id")
+    dealt = vectors.repartitionByRange(partitions, *keys) if partitions else vectors.repartitionByRange(*keys)
+    return dealt.sortWithinPartitions(*keys)
+
+
 def write(index: Index, path: str, partitions: int | None = None) -> None:
-    """Five Parquet tables; vectors are dealt by list and ordered by radius inside it."""
+    """Five Parquet tables; vectors lie in ranges of list and radius."""
     for name in ("centroids", "lists", "blocks", "meta"):
         getattr(index, name).coalesce(1).write.parquet(f"{path}/{name}")
-    dealt = index.vectors.repartition(partitions, "list_id") if partitions else index.vectors.repartition("list_id")
-    dealt.sortWithinPartitions("list_id", "radius", "ref_id").write.parquet(f"{path}/vectors")
+    _dealt(index.vectors, partitions).write.parquet(f"{path}/vectors")
 
 
 def open_index(spark: SparkSession, path: str) -> Index:

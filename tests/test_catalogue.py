@@ -36,4 +36,4 @@ def test_trained_centroids(spark):
 
 
 def test_entry(spark):
-    assert entry.entry(spark).count() == 10
+    assert entry.entry(spark).count() == 50

@@ -129,6 +129,6 @@ def test_empty_lists_are_reseeded(spark):
 
 
 def test_exact_refuses_many_queries(spark, refs, queries, monkeypatch):
-    monkeypatch.setattr(knn, "QUERY_BLOCK", 10)
+    monkeypatch.setattr(knn, "EXACT_QUERIES", 10)
     with pytest.raises(ValueError):
         knn.exact(queries, refs)

@@ -33,6 +33,9 @@ QUERY_BLOCK = 4096
 EXACT_QUERIES = 65_536
 #: Slack for bounds whose radii and distances were rounded to single precision.
 SLACK = 1e-5
+# Fixed values.
+#: Probes that are always made, and the share of a centre's squared distance under which tau spares a further one.
+SURE_PROBES, SPARE_SHARE = 3, 0.75
 
 
 def _renamed(queries: DataFrame) -> DataFrame:
@@ -209,13 +212,26 @@ def taus(first: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     return queries.select("qid").join(last, "qid", "left").select("qid", F.coalesce("tau", F.lit(float("inf"))).alias("tau"))
 
 
-def ivf(queries: DataFrame, index: Index, k: int = K, nprobe: int = NPROBE) -> DataFrame:
+def ivf(queries: DataFrame, index: Index, k: int = K, nprobe: int = NPROBE, adaptive: bool = False) -> DataFrame:
     """qid, rank, ref_id, label, d: exact, though lists and blocks are pruned."""
-    return ivf_steps(queries, index, k, nprobe)["result"]
+    return ivf_steps(queries, index, k, nprobe, adaptive)["result"]
 
 
-def ivf_steps(queries: DataFrame, index: Index, k: int = K, nprobe: int = NPROBE) -> dict[str, DataFrame]:
+def needed_probes(probes: DataFrame, queries: DataFrame, index: Index, k: int = K) -> DataFrame:
+    """Of the probes, the first SURE_PROBES of each query and those that tau after these doesn't spare.
+
+    What is spared here is met again as a candidate list if it can matter.
+    """
+    sure = probes.filter(F.col("rank") <= SURE_PROBES)
+    tau = taus(_probe_scan(queries, sure, index, k), queries, k)
+    more = probes.filter(F.col("rank") > SURE_PROBES).join(tau, "qid").filter(F.col("tau") > SPARE_SHARE * F.col("cd") * F.col("cd"))
+    return sure.unionByName(more.drop("tau"))
+
+
+def ivf_steps(queries: DataFrame, index: Index, k: int = K, nprobe: int = NPROBE, adaptive: bool = False) -> dict[str, DataFrame]:
     probes = kept(probe_lists(queries, index, nprobe), "probes")
+    if adaptive:
+        probes = kept(needed_probes(probes, queries, index, k), "probes")
     first = kept(_probe_scan(queries, probes, index, k), "first-pass")
     tau = taus(first, queries, k)
     lists = candidate_lists(unprobed(queries, index, probes), index, tau)
@@ -227,14 +243,24 @@ def ivf_steps(queries: DataFrame, index: Index, k: int = K, nprobe: int = NPROBE
 
 
 def prune_profile(queries: DataFrame, index: Index, k: int = K, nprobe: int = NPROBE) -> DataFrame:
-    """Per query: lists probed, candidate lists, candidate blocks, vectors scanned in either pass."""
+    """Per query: lists probed, considered after that, pruned and left as candidates; candidate blocks; vectors scanned in either pass."""
     s = ivf_steps(queries, index, k, nprobe)
     sizes = F.broadcast(index.lists.select("list_id", "n"))
     probed = s["probes"].join(sizes, "list_id").groupBy("qid").agg(F.count("*").alias("lists_probed"), F.sum("n").alias("vectors_probed"))
     listed = s["lists"].groupBy("qid").agg(F.count("*").alias("lists_candidate"))
     scanned = s["blocks"].join(index.blocks.select("list_id", "block_id", "n"), ["list_id", "block_id"]).groupBy("qid").agg(F.count("*").alias("blocks_candidate"), F.sum("n").alias("vectors_candidate"))
     out = queries.select("qid").join(probed, "qid", "left").join(listed, "qid", "left").join(scanned, "qid", "left")
-    return out.na.fill(0, ["lists_probed", "vectors_probed", "lists_candidate", "blocks_candidate", "vectors_candidate"])
+    out = out.na.fill(0, COUNTERS)
+    considered = F.lit(index.centroids.count()) - F.col("lists_probed")
+    return out.withColumn("lists_considered", considered).withColumn("lists_pruned", considered - F.col("lists_candidate"))
+
+
+COUNTERS = ["lists_probed", "vectors_probed", "lists_candidate", "blocks_candidate", "vectors_candidate"]
+
+
+def profile_report(profile: DataFrame) -> DataFrame:
+    """One row: the number of queries and the average of each counter."""
+    return profile.agg(F.count("*").alias("queries"), *[F.avg(c).alias(c) for c in COUNTERS])
 
 
 def fraud_counts(neighbours: DataFrame, queries: DataFrame) -> DataFrame:

@@ -248,12 +248,17 @@ def payload_parse_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse.rejects(parsed).select("tx_id", "broken", "status", "error")
 
 
-@query("SELECT event_id, CASE WHEN event_type = 'view' THEN 'ready' WHEN event_type = 'purchase' THEN 'score' ELSE 'unknown' END AS route FROM events")
+@query(
+    "SELECT event_id, CASE WHEN event_type = 'view' THEN 'ready' WHEN event_type = 'purchase' THEN 'score' ELSE 'unknown' END AS route,"
+    " CASE WHEN event_type = 'view' THEN 204 WHEN event_type <> 'purchase' THEN 404 WHEN strlen(props) * 2000 > 16384 THEN 413 END AS status FROM events"
+)
 def request_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type")
+    """Routes and early outcomes of requests whose bodies are events' properties, repeated until some are too large."""
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", "props")
     method = F.when(F.col("event_type") == "view", "GET").otherwise("POST")
     path = F.when(F.col("event_type") == "view", "/ready").when(F.col("event_type") == "purchase", "/fraud-score").otherwise("/else")
-    return ev.select("event_id", parse.route(method, path).alias("route"))
+    route = parse.route(method, path)
+    return ev.select("event_id", route.alias("route"), parse.request_status(route, F.repeat("props", 2000)).alias("status"))
 
 
 # Neighbours and decisions ---------------------------------------------------
@@ -412,7 +417,7 @@ def block_window_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _with(
-        """SELECT q.qid, CAST(coalesce(p.l, 0) AS BIGINT) AS lists_probed, CAST(coalesce(p.v, 0) AS BIGINT) AS vectors_probed, coalesce(k.l, 0) AS lists_candidate, coalesce(w.b, 0) AS blocks_candidate, CAST(coalesce(w.v, 0) AS BIGINT) AS vectors_candidate
+        f"""SELECT q.qid, CAST(coalesce(p.l, 0) AS BIGINT) AS lists_probed, CAST(coalesce(p.v, 0) AS BIGINT) AS vectors_probed, {NLIST} - coalesce(p.l, 0) AS lists_considered, {NLIST} - coalesce(p.l, 0) - coalesce(k.l, 0) AS lists_pruned, coalesce(k.l, 0) AS lists_candidate, coalesce(w.b, 0) AS blocks_candidate, CAST(coalesce(w.v, 0) AS BIGINT) AS vectors_candidate
 FROM q LEFT JOIN (SELECT qid, count(*) AS l, sum(n) AS v FROM probes JOIN lists USING (list_id) GROUP BY qid) p USING (qid)
 LEFT JOIN (SELECT qid, count(*) AS l FROM candidate GROUP BY qid) k USING (qid)
 LEFT JOIN (SELECT qid, count(*) AS b, sum(n) AS v FROM window_blocks GROUP BY qid) w USING (qid)""",
@@ -427,6 +432,31 @@ def prune_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.prune_profile(queries, _index(refs), nprobe=NPROBE)
 
 
+@query(
+    _with(
+        """SELECT count(*) AS queries, round(avg(coalesce(p.l, 0)), 4) AS lists_probed, round(avg(coalesce(p.v, 0)), 4) AS vectors_probed, round(avg(coalesce(k.l, 0)), 4) AS lists_candidate,
+round(avg(coalesce(w.b, 0)), 4) AS blocks_candidate, round(avg(coalesce(w.v, 0)), 4) AS vectors_candidate
+FROM q LEFT JOIN (SELECT qid, count(*) AS l, sum(n) AS v FROM probes JOIN lists USING (list_id) GROUP BY qid) p USING (qid)
+LEFT JOIN (SELECT qid, count(*) AS l FROM candidate GROUP BY qid) k USING (qid)
+LEFT JOIN (SELECT qid, count(*) AS b, sum(n) AS v FROM window_blocks GROUP BY qid) w USING (qid)""",
+        _FEATURES,
+        _REFS,
+        _LISTS,
+        _PROBES,
+    )
+)
+def prune_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries, refs = _inputs(spark, sf_dir)
+    averages = knn.profile_report(knn.prune_profile(queries, _index(refs), nprobe=NPROBE))
+    return averages.select("queries", *[F.round(c, 4).alias(c) for c in ("lists_probed", "vectors_probed", "lists_candidate", "blocks_candidate", "vectors_candidate")])
+
+
+@query(_with(_NN, _FEATURES, _REFS, _NEAREST))
+def knn_ivf_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries, refs = _inputs(spark, sf_dir)
+    return _nn(knn.ivf(queries, _index(refs), nprobe=NPROBE, adaptive=True))
+
+
 SAMPLE_ROWS = 500
 
 

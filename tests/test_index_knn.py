@@ -64,6 +64,7 @@ def test_three_ways_agree_with_brute_force(queries, refs, built):
     assert found(knn.kernel(queries, refs)) == want
     assert found(knn.kernel(queries, refs, block=7)) == want
     assert found(knn.ivf(queries, built, nprobe=2)) == want
+    assert found(knn.ivf(queries, built, nprobe=5, adaptive=True)) == want
 
 
 def test_fewer_references_than_places(queries, refs):
@@ -100,7 +101,7 @@ def test_lists_and_blocks(refs, built):
 
 def test_profile(queries, built):
     for r in knn.prune_profile(queries, built, nprobe=2).collect():
-        assert r.lists_probed == 2 and 0 <= r.lists_candidate <= 10 and r.vectors_probed + r.vectors_candidate <= N
+        assert r.lists_probed == 2 and r.lists_considered == 10 and r.lists_candidate + r.lists_pruned == 10 and r.vectors_probed + r.vectors_candidate <= N
 
 
 def test_write_and_open(spark, built, queries, refs, tmp_path):

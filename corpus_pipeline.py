@@ -13,6 +13,10 @@ from sparkwarden.llm import bpe, common, decontaminate, simhash, substring, toxi
 from sparkwarden.llm.queries import BYTE_BPE
 
 
+#: Smaller than on their own, as workers also hold what earlier stages have left.
+BLOCK_BYTES, KEEP_UNITS = 3 << 20, 120_000
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learnt from ``labels``, doesn't reject."""
     return toxicity.reject(docs, common.table(spark, sf_dir, "labels"))
@@ -35,7 +39,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left: doc_id, n_tokens, ids_sha256, decoded_sha256, ids."""
-    return bpe.encode_documents(docs, public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN)
+    return bpe.encode_documents(docs, public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN, block_bytes=BLOCK_BYTES, keep_units=KEEP_UNITS)
 
 
 STAGES = [

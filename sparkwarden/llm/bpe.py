@@ -40,9 +40,9 @@ SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A run of white space with what follows: the pattern never matches across these units.
 UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 #: Text bytes of a block.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 #: Units whose ids a worker keeps; beyond it, it forgets those not met since it last forgot.
-KEEP_UNITS = 300_000
+KEEP_UNITS = 250_000
 _NONE = np.iinfo(np.int32).max
 
 
@@ -112,7 +112,7 @@ def replay(words: list[bytes], v: Ranks) -> list[tuple[int, ...]]:
     live = np.flatnonzero(pair[:n] != _NONE)
     live = live[np.argsort(pair[live], kind="stable")]
     cuts = np.flatnonzero(np.diff(pair[live], prepend=-1))
-    for a, b in zip(cuts, np.append(cuts[1:], len(live)), strict=True):
+    for a, b in zip(cuts, np.append(cuts[1:], len(live)), strict=bool(len(cuts))):
         index[int(pair[live[a]])] = [live[a:b]]
     heap = sorted(index)
     mark = np.zeros(n + 1, bool)
@@ -195,13 +195,14 @@ def replay(words: list[bytes], v: Ranks) -> list[tuple[int, ...]]:
 class Coder:
     """Encodes texts block by block and keeps the ids of units it has met."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, keep_units: int = KEEP_UNITS):
+        self.keep_units = keep_units
         self.v, self.split = ranks_at(path), regex.compile(pattern)
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
 
     def learn(self, units: set[str]) -> None:
-        if len(self.known) > KEEP_UNITS:
+        if len(self.known) > self.keep_units:
             self.known, self.older = {}, self.known
         new = []
         for u in units.difference(self.known):
@@ -237,28 +238,20 @@ class Coder:
             yield list(chain.from_iterable(map(of, c)))
 
 
-_coder: dict[tuple[str, str], Coder] = {}
-
-
-def coder(path: str, pattern: str) -> Coder:
-    """One for each worker process and vocabulary."""
-    if (path, pattern) not in _coder:
-        _coder[path, pattern] = Coder(path, pattern)
-    return _coder[path, pattern]
-
-
-def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, block_bytes: int = BLOCK_BYTES, keep_units: int = KEEP_UNITS) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if wanted, ids (array of int).
 
     decoded_sha256 is of the bytes that decoding the ids gives. ``vocabulary``
-    is a rank file at the same path on every executor.
+    is a rank file at the same path on every executor. ``block_bytes`` and
+    ``keep_units`` trade memory for time and change no result.
     """
     kinds = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     schema = pa.schema(kinds + [("ids", pa.list_(pa.int32()))] * with_ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(vocabulary, pattern)
-        for batch in common.slices(batches, 1, BLOCK_BYTES):
+        key = ("bpe", vocabulary, pattern, keep_units)
+        for batch in common.slices(batches, 1, block_bytes, key):
+            c = common.resident(key, lambda: Coder(vocabulary, pattern, keep_units))
             rows = []
             arrays = []
             for ids in c.encode([t or "" for t in batch.column(1).to_pylist()]):

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 #: Text bytes that a Python operator turns into numpy arrays at once.
 SLICE_BYTES = 2 << 20
 
@@ -97,20 +104,55 @@ def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFram
     return docs.join(small(ids), docs[id_col].cast("long") == ids["__id"], "left_anti")
 
 
-def slices(batches: Iterator[pa.RecordBatch], text_at: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Each batch cut into runs of rows with at most ``limit`` text bytes (one row at least)."""
-    import numpy as np
+_resident: dict[tuple, object] = {}
+
+
+def resident(key: tuple, make: Callable[[], T]) -> T:
+    """An object that a worker process keeps from task to task, such as a cache of coded words.
+
+    Workers outlive a stage, so one object is kept at a time: ``slices``,
+    which every operator calls first, lets go of another operator's.
+    """
+    if key not in _resident:
+        _release()
+        _resident[key] = make()
+    return _resident[key]
+
 
-    for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        sizes = np.zeros(n + 1, np.int64)
-        import pyarrow.compute as pc
+def _release(keep: tuple | None = None) -> None:
+    gone = [k for k in _resident if k != keep]
+    for k in gone:
+        del _resident[k]
+    if gone:
+        _trim()
 
-        sizes[1:] = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False))
-        at = 0
-        while at < n:
-            upto = max(at + 1, int(np.searchsorted(sizes, sizes[at] + limit, side="right")) - 1)
-            yield batch.slice(at, upto - at)
-            at = upto
+
+def _trim() -> None:
+    """Gives what this process has freed back to the system; idle workers stay for a while, and others need the memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], text_at: int, limit: int = SLICE_BYTES, keep: tuple | None = None) -> Iterator[pa.RecordBatch]:
+    """Each batch cut into runs of rows with at most ``limit`` text bytes (one row at least).
+
+    ``keep``: the key of the resident object that the caller goes on using.
+    """
+    _release(keep)
+    try:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            sizes = np.zeros(n + 1, np.int64)
+            sizes[1:] = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < n:
+                upto = max(at + 1, int(np.searchsorted(sizes, sizes[at] + limit, side="right")) - 1)
+                yield batch.slice(at, upto - at)
+                at = upto
+    finally:
+        _trim()

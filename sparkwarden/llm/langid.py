@@ -123,14 +123,9 @@ class Bundler:
         return out / np.where(length > 0, length, 1)
 
 
-_bundlers: list[Bundler] = []
-
-
 def bundler() -> Bundler:
     """One for each worker process."""
-    if not _bundlers:
-        _bundlers.append(Bundler())
-    return _bundlers[0]
+    return common.resident(("langid",), Bundler)
 
 
 def prototypes(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
@@ -138,8 +133,9 @@ def prototypes(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     rows = docs.filter(F.length(F.col(lang_col).cast("string")) > 0).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b, total = bundler(), {}
-        for batch in common.slices(batches, 1):
+        total: dict[str, np.ndarray] = {}
+        for batch in common.slices(batches, 1, keep=("langid",)):
+            b = bundler()
             langs = np.array(batch.column(0).to_pylist())
             made = b.bundle(batch.column(1).to_pylist())
             for lang in np.unique(langs).tolist():
@@ -163,8 +159,8 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     vectors = vectors.astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b = bundler()
-        for batch in common.slices(batches, 1):
+        for batch in common.slices(batches, 1, keep=("langid",)):
+            b = bundler()
             made = b.bundle(batch.column(1).to_pylist())
             names, best = [UNKNOWN] * len(made), np.zeros(len(made))
             if langs:

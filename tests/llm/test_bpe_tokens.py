@@ -49,9 +49,8 @@ def test_ids_equal_the_library(library):
             assert coder.v.decode(ids) == text.encode()
 
 
-def test_forgetting_changes_nothing(library, monkeypatch):
-    monkeypatch.setattr(bpe, "KEEP_UNITS", 5)
-    coder = bpe.Coder(PATH, P.PATTERN)
+def test_forgetting_changes_nothing(library):
+    coder = bpe.Coder(PATH, P.PATTERN, keep_units=5)
     for text in random_texts(200, 2):
         assert list(coder.encode([text, text])) == [library.encode_ordinary(text)] * 2
 

@@ -14,7 +14,7 @@ that any file system Spark knows will do:
 * ``bases``: part, base. Ids before each part.
 
 Words between white space are encoded by the tokenizers library, which splits
-there itself; a worker keeps the ids of words that it has met.
+there itself, once for each worker that meets them.
 
 Defined results: null and empty texts have the end id alone. Special tokens'
 strings in a text are ordinary text. Null ids come first, and rows with equal
@@ -24,13 +24,15 @@ columns are not read.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
-from itertools import accumulate, chain
+from array import array
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -42,15 +44,32 @@ from . import common
 from .bpe import SPACE
 
 WORD = re.compile(f"[^{SPACE}]+")
-KEEP_WORDS = 400_000
+#: Text bytes that a task encodes at once.
+SLICE_BYTES = 3 << 20
+#: Latin letters that Unicode composes no further, then marks that the splitter takes as one piece.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?#$%&*)(|-]*)").fullmatch
+#: Words whose ids a worker keeps; beyond it, it forgets those not met since it last forgot.
+KEEP_WORDS = 350_000
 SAMPLE_DOCS = 1000
 DICT_BYTES = 64 << 10
 BLOCK_BYTES = 1 << 20
-LEVEL = 3
+LEVEL = 1
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else the next from U+0100."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    other = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(other)}
 
 
 class WordIds:
-    """Serialized ids of words, by the tokenizers library."""
+    """Serialized ids of words, by the tokenizers library.
+
+    A word of plain letters, with or without plain marks after them, goes to the library's
+    merge model directly: its normalizer does no more to it than lower-case it, and its splitter cuts it
+    before the marks. Every other word takes the library's whole way.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,40 +77,76 @@ class WordIds:
 
         self.t = Tokenizer.from_file(path)
         self.t.encode_special_tokens = True
+        self.model = self.t.model
+        self.letters = byte_letters()
         self.type = np.dtype("<u2" if self.t.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
-
-    def learn(self, new: list[str]) -> None:
-        """Encodes words in runs; offsets tell which ids belong to which word."""
-        for at in range(0, len(new), 5000):
-            words = new[at : at + 5000]
-            got = self.t.encode("\n".join(words), add_special_tokens=False)
-            begins = np.cumsum([0, *(len(w) + 1 for w in words)])
-            owner = np.searchsorted(begins, np.array([a for a, _ in got.offsets], np.int64), side="right") - 1
-            ids = np.array(got.ids, self.type)
-            cut = np.searchsorted(owner, np.arange(len(words) + 1)).tolist()
-            for i, w in enumerate(words):
-                self.known[w] = ids[cut[i] : cut[i + 1]].tobytes()
-
-    def encode(self, texts: list[str], end: bytes) -> Iterator[bytes]:
-        cut = [WORD.findall(t) for t in texts]
+        self.code = "H" if self.type.itemsize == 2 else "I"
+        self.known = Known(self.make)
+        self.older: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def piece(self, p: str) -> bytes:
+        ids = self.pieces.get(p)
+        if ids is None:
+            symbols = p if p.isascii() else p.encode().decode("latin-1").translate(self.letters)
+            ids = self.pieces[p] = array(self.code, [x.id for x in self.model.tokenize(symbols)]).tobytes()
+        return ids
+
+    def make(self, w: str) -> bytes:
+        """The ids of a word that isn't known."""
+        ids = self.older.get(w)
+        if ids is not None:
+            return ids
+        if w.isascii() and w.islower() and w.isalpha():
+            return self.piece(w)
+        if plain := PLAIN(w):
+            letters, marks = plain.groups()
+            return self.piece(letters.lower()) + self.piece(marks) if marks else self.piece(letters.lower())
+        return array(self.code, self.t.encode(w, add_special_tokens=False).ids).tobytes()
+
+    def encode(self, texts: list[str], end: bytes) -> list[bytes]:
         if len(self.known) > KEEP_WORDS:
-            self.known.clear()
-        if new := [w for w in set(chain.from_iterable(cut)) if w not in self.known]:
-            self.learn(new)
+            self.known, self.older = Known(self.make), self.known
+        if len(self.pieces) > KEEP_WORDS:
+            self.pieces = {}
         of = self.known.__getitem__
-        for words in cut:
-            yield b"".join(map(of, words)) + end
+        collecting = gc.isenabled()
+        gc.disable()  # nothing here has cycles
+        try:
+            return [b"".join(map(of, _words(_lowered(t)))) + end for t in texts]
+        finally:
+            if collecting:
+                gc.enable()
+
+
+class Known(dict):
+    """Ids by word; a word that is asked for first is made."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        self.make = make
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = self.make(word)
+        return ids
+
+
+def _lowered(text: str) -> str:
+    """Lower case, as the library's normalizer would, where that is letter by letter: below U+0100."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
 
 
-_ids: dict[str, WordIds] = {}
+def _words(text: str) -> list[str]:
+    """Runs without white space. str.split() also cuts at four control characters that aren't White_Space."""
+    return WORD.findall(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
 
 
 def word_ids(path: str) -> WordIds:
     """One for each worker process and vocabulary."""
-    if path not in _ids:
-        _ids[path] = WordIds(path)
-    return _ids[path]
+    return common.resident(("token-files", path), lambda: WordIds(path))
 
 
 def _compressor(d: bytes) -> zstandard.ZstdCompressor:
@@ -106,8 +161,9 @@ def _train(docs: DataFrame, vocabulary: str) -> bytes:
     """The dictionary, made by one task from the bounded sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, samples = word_ids(vocabulary), []
-        for batch in common.slices(batches, 1):
+        samples = []
+        for batch in common.slices(batches, 1, keep=("token-files", vocabulary)):
+            coder = word_ids(vocabulary)
             samples += [s[: 64 << 10] for s in coder.encode([t or "" for t in batch.column(1).to_pylist()], b"")]
         try:
             made = zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
@@ -115,7 +171,9 @@ def _train(docs: DataFrame, vocabulary: str) -> bytes:
             made = b""
         yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], names=["bytes"])
 
-    sample = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).coalesce(1)
+    n = docs.count()
+    share = min(1 << 30, (1 << 30) * SAMPLE_DOCS // max(1, n))
+    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share).repartition(1)
     rows = sample.mapInArrow(run, "bytes binary").collect()  # one row of DICT_BYTES at most
     return bytes(rows[0]["bytes"]) if rows else b""
 
@@ -130,11 +188,11 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int,
     bounds = common.range_bounds(docs.select("doc_id"), "doc_id", n)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, press = word_ids(vocabulary), _compressor(trained)
-        end = np.array([end_id], coder.type).tobytes()
-        cuts = np.array(bounds, np.int64)
-        for batch in common.slices(batches, 1):
-            raw = list(coder.encode([t or "" for t in batch.column(1).to_pylist()], end))
+        press, cuts = _compressor(trained), np.array(bounds, np.int64)
+        for batch in common.slices(batches, 1, SLICE_BYTES, ("token-files", vocabulary)):
+            coder = word_ids(vocabulary)
+            end = np.array([end_id], coder.type).tobytes()
+            raw = coder.encode([t or "" for t in batch.column(1).to_pylist()], end)
             keys = np.array([-(1 << 63) if x is None else x for x in batch.column(0).to_pylist()], np.int64)
             yield pa.RecordBatch.from_arrays(
                 [

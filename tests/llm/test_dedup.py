@@ -256,3 +256,30 @@ def test_word_hashes_are_of_words():
     w = wordhash.words(pa.array(["ab cd", None, "ab", "x" * 3_000_000, "cd"]), wordhash.NOT_SPACE)
     h = w.hashes()
     assert w.first.tolist() == [0, 2, 2, 3, 4, 5] and h[0] == h[2] and h[1] == h[4] and len(set(h.tolist())) == 3
+
+
+def test_ties_go_to_the_first_and_to_the_document_before():
+    key, doc = np.array([1, 1, 1, 1, 2, 3, 3, 3]), np.array([5, 5, 6, 8, 1, 2, 4, 4])
+    head, prior = substring._ties(key, doc)
+    assert head.tolist() == [0, 0, 0, 0, 4, 5, 5, 5] and prior.tolist() == [0, 0, 1, 2, 4, 5, 5, 5]
+
+
+@pytest.mark.parametrize("rows_a_batch", [1, 3, 10_000])
+@pytest.mark.parametrize("slice_bytes", [500, 2 << 20])
+def test_neighbours_that_share_more_than_with_the_first(spark, monkeypatch, rows_a_batch, slice_bytes):
+    """B and C share a passage of which A has only the first words; all cuts into slices and batches find it."""
+    r = random.Random(9)
+    words = lambda n: [f"z{r.randint(0, 10**6)}" for _ in range(n)]
+    passage = words(60)
+    rows = [(1, " ".join(words(80) + passage[:30] + words(80)))]
+    rows += [(i, " ".join(words(70) + passage + words(i))) for i in (2, 3, 4)]
+    slices = common.slices
+    monkeypatch.setattr(common, "SLICE_BYTES", slice_bytes)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_a_batch)
+    try:
+        got = substring.passages(documents(spark, rows)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert common.slices is slices and {r.doc_id for r in got} == {3, 4}
+    assert all(r.similarity == 1.0 and r.end - r.start >= 60 for r in got)

@@ -159,6 +159,9 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
 def main_text(html: str | None) -> str:
     if not html:
         return ""
+    comment = html.rfind("<!--")
+    if comment >= 0 and html.find("-->", comment) < 0:  # a comment without end takes the rest
+        html = html[:comment]
     p = _Lines()
     p.feed(html)
     p.close()

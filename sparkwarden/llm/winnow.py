@@ -1,15 +1,15 @@
 """Document fingerprints by winnowing, in DataFrame functions alone.
 
-Words (runs without white space) are hashed; hashes of pairs and then of pairs
-of pairs roll to a hash for every GRAM neighbouring words. Of every WINDOW
+Words (runs without white space) are hashed, and each word's hash rolls with
+the next one's to a hash for every GRAM neighbouring words. Of every WINDOW
 neighbouring gram hashes the least is chosen, the rightmost of equals, and
 kept with its position. So two texts that share GRAM + WINDOW - 1 words in a
 row share a chosen gram, and what is chosen depends on those words alone.
 
 A hash and its position make one long: 32 bits of hash above, 32 bits that
 fall as the position rises below, so that a minimum over longs is the least
-hash and among equals the rightmost. Minima of 8 come from minima of 4, and
-these of 2, each by one pass over the array.
+hash and among equals the rightmost. Minima of 4 come from minima of 2, each by
+one pass over the array.
 
 Defined results: texts with fewer words than GRAM have one gram, of all their words; texts
 with no word (null, empty, white space) have no gram and an empty fingerprint, alike only to
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-GRAM, WINDOW = 4, 8
+GRAM, WINDOW = 2, 4
 _NULL_ID = -(1 << 63)
 
 
@@ -43,12 +43,10 @@ def chosen(df: DataFrame, text_col: str, out: str) -> DataFrame:
     pair = lambda a, b: F.xxhash64(a, b)
     steps = [
         F.transform(F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), r"\s+"), lambda w: w != ""), lambda w: F.xxhash64(w)),
-        F.zip_with(t, _shift(t, 1), pair),
-        F.slice(F.zip_with(t, _shift(t, 2), pair), 1, F.greatest(F.size(t) - (GRAM - 1), F.lit(1))),
+        F.slice(F.zip_with(t, _shift(t, 1), pair), 1, F.greatest(F.size(t) - (GRAM - 1), F.lit(1))),
         F.transform(t, lambda x, i: x.bitwiseAND(F.lit(-(1 << 32))).bitwiseOR(F.lit((1 << 32) - 1) - i)),
         F.zip_with(t, _shift(t, 1), _least),
-        F.zip_with(t, _shift(t, 2), _least),
-        F.slice(F.zip_with(t, _shift(t, 4), _least), 1, F.greatest(F.size(t) - (WINDOW - 1), F.lit(1))),
+        F.slice(F.zip_with(t, _shift(t, 2), _least), 1, F.greatest(F.size(t) - (WINDOW - 1), F.lit(1))),
     ]
     for step in steps:
         df = df.withColumn(t, step)

@@ -36,7 +36,7 @@ from .components import components
 
 WORDS, SEED, BITS, RADIUS = 4, 42, 64, 4
 #: Most fingerprints of a tile, and of a tile inside it.
-TILE, SMALL = 1 << 18, 512
+TILE, SMALL = 1 << 18, 256
 #: Least tiles of a large table, for the sake of all cores.
 LEAST_TILES = 16
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -167,7 +167,9 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
         u, v = forest_of(fp, None, radius) if same else forest_of(fp[low], fp[~low], radius) if low.any() and not low.all() else (np.zeros(0, np.int64),) * 2
         return pa.table({"u": pa.array(u), "v": pa.array(v)})
 
-    pairs = dealt.groupBy(F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
+    pairs = dealt.withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other")})
+    # a stated number of partitions isn't coalesced: a pair is few bytes and much work
+    pairs = pairs.repartition(common.n_partitions(distinct.sparkSession), "a", "b").groupBy("a", "b")
     return pairs.applyInArrow(compare, "u long, v long")
 
 

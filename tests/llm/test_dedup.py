@@ -258,10 +258,17 @@ def test_word_hashes_are_of_words():
     assert w.first.tolist() == [0, 2, 2, 3, 4, 5] and h[0] == h[2] and h[1] == h[4] and len(set(h.tolist())) == 3
 
 
-def test_ties_go_to_the_first_and_to_the_document_before():
-    key, doc = np.array([1, 1, 1, 1, 2, 3, 3, 3]), np.array([5, 5, 6, 8, 1, 2, 4, 4])
-    head, prior = substring._ties(key, doc)
-    assert head.tolist() == [0, 0, 0, 0, 4, 5, 5, 5] and prior.tolist() == [0, 0, 1, 2, 4, 5, 5, 5]
+def test_repetitive_tokens_stand_for_their_beginning():
+    token, text = np.array([5, 1, 1, 2, 1, 9, 9, 9, 9, 1], np.uint64), np.array([0] * 9 + [1])
+    assert substring._cluster_starts(token, text, 3).tolist() == [0, 1, 1, 3, 1, 5, 5, 5, 5, 9]
+
+
+def test_runs_of_one_word(spark):
+    r = random.Random(4)
+    words = lambda n: " ".join(f"u{r.randint(0, 10**6)}" for _ in range(n))
+    rows = [(1, f"{words(60)} {'of ' * 9} {words(60)}"), (2, f"{words(50)} {'of ' * 58} {words(40)}"), (3, f"{words(70)} {'of ' * 46} {words(5)}"), (4, f"{words(9)} {'of ' * 700} {words(80)}")]
+    got = substring.passages(documents(spark, rows)).collect()
+    assert {(r.doc_id, r.source_doc_id) for r in got} == {(4, 2)}
 
 
 @pytest.mark.parametrize("rows_a_batch", [1, 3, 10_000])

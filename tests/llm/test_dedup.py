@@ -290,3 +290,15 @@ def test_neighbours_that_share_more_than_with_the_first(spark, monkeypatch, rows
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert common.slices is slices and {r.doc_id for r in got} == {3, 4}
     assert all(r.similarity == 1.0 and r.end - r.start >= 60 for r in got)
+
+
+@pytest.mark.parametrize("partitions", [1, 2])
+def test_both_copies_of_a_passage_in_one_document(spark, partitions):
+    """However rows fall into slices, a later document loses each of its copies."""
+    r = random.Random(11)
+    words = lambda n: [f"y{r.randint(0, 10**6)}" for _ in range(n)]
+    passage = words(60)
+    rows = [(1, " ".join(words(80) + passage + words(40))), (2, " ".join(words(70) + passage + words(90) + passage + words(50)))]
+    docs = documents(spark, rows).repartitionByRange(partitions, "doc_id")
+    have = covered(substring.passages(docs).collect())
+    assert have[2] >= {*range(70, 130), *range(220, 280)} and 1 not in have

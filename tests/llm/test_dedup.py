@@ -302,3 +302,21 @@ def test_both_copies_of_a_passage_in_one_document(spark, partitions):
     docs = documents(spark, rows).repartitionByRange(partitions, "doc_id")
     have = covered(substring.passages(docs).collect())
     assert have[2] >= {*range(70, 130), *range(220, 280)} and 1 not in have
+
+
+def test_edited_passage_between_repeated_lines():
+    """Every repeat of a line begins a chain on each anchor's diagonal; those don't come between the halves of a passage."""
+    r = np.random.default_rng(3)
+    fresh = lambda n: r.integers(1000, 60000, n).astype(np.uint16)
+    line = fresh(20)
+    found = 0
+    for _ in range(50):
+        a, b = (np.concatenate([x for _ in range(14) for x in (line, fresh(50))]) for _ in range(2))
+        at_a, at_b = 70 * 6 - 21, 70 * 9 - 21
+        passage = np.concatenate([fresh(21), line, fresh(21)])
+        a[at_a : at_a + 62] = b[at_b : at_b + 62] = passage
+        a[at_a + 31] = 999  # one word of the line
+        anchors = [(k, at_a + p, at_b + p, at_a, at_a + 61) for k, p in enumerate((3, 45))]
+        anchors += [(k % 4, 70 * x + 5, 5, 70 * x, 70 * x + 60) for k, x in enumerate(range(1, 14))] + [(k % 4, 5, 70 * x + 5, 0, 60) for k, x in enumerate(range(1, 14))]
+        found += any(i0 <= at_a and i1 >= at_a + 62 and j0 <= at_b and j1 >= at_b + 62 for i0, i1, j0, j1, _ in substring.verified(a, b, anchors))
+    assert found == 50

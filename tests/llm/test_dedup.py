@@ -320,3 +320,16 @@ def test_edited_passage_between_repeated_lines():
         anchors += [(k % 4, 70 * x + 5, 5, 70 * x, 70 * x + 60) for k, x in enumerate(range(1, 14))] + [(k % 4, 5, 70 * x + 5, 0, 60) for k, x in enumerate(range(1, 14))]
         found += any(i0 <= at_a and i1 >= at_a + 62 and j0 <= at_b and j1 >= at_b + 62 for i0, i1, j0, j1, _ in substring.verified(a, b, anchors))
     assert found == 50
+
+
+@pytest.mark.parametrize("at", [10, 27, 44])
+@pytest.mark.parametrize("side", [0, 1])
+@pytest.mark.parametrize("edit", ["insert", "delete"])
+def test_one_edit_with_anchors_on_one_side(edit, side, at):
+    r = np.random.default_rng(at)
+    fresh = lambda n: r.integers(1000, 60000, n).astype(np.uint16)
+    p = fresh(54)
+    q = np.concatenate([p[:at], fresh(1), p[at:]]) if edit == "insert" else np.concatenate([p[:at], p[at + 1 :]])
+    a, b = np.concatenate([fresh(80), q, fresh(60)]), np.concatenate([fresh(30), p, fresh(90)])
+    anchors = [(k, 80 + 2, 30 + 2, 80, 80 + len(q)) if side == 0 else (k, 80 + len(q) - 6, 30 + 48, 80, 80 + len(q)) for k in (0, 1)]
+    assert [x[:4] for x in substring.verified(a, b, anchors)] == [(80, 80 + len(q), 30, 84)]

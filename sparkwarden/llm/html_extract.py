@@ -38,6 +38,8 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NEVER = frozenset("script style noscript template nav footer aside form button select textarea iframe svg math object canvas dialog menu head title search audio video".split())
+#: Elements whose content is text, so that no comment begins in it.
+PLAIN = frozenset("textarea title iframe noembed noframes xmp".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 MARKED = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer footer gdpr hidden login masthead menu menus modal"
@@ -141,6 +143,13 @@ class _Lines(HTMLParser):
         if tag in BLOCKS:
             self.end_line()
 
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        if any(tag in PLAIN for tag, _ in self.open):
+            self.handle_data("<!--")
+            return i + 4
+        k = super().parse_comment(i, report)
+        return k if k >= 0 else len(self.rawdata)  # a comment without end takes the rest
+
     def handle_data(self, data: str) -> None:
         if not self.dropped:
             self.parts.append(data)
@@ -159,9 +168,6 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
 def main_text(html: str | None) -> str:
     if not html:
         return ""
-    comment = html.rfind("<!--")
-    if comment >= 0 and html.find("-->", comment) < 0:  # a comment without end takes the rest
-        html = html[:comment]
     p = _Lines()
     p.feed(html)
     p.close()

@@ -45,3 +45,11 @@ def test_table(spark):
     odd = spark.createDataFrame([(None, None, None), (1, None, "<p>é</p>"), (1, None, "<p>é</p>")], "page_id long, url string, html string")
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in html_extract.extract(odd).collect()) == [(0, "", 0), (1, "é", 1), (1, "é", 1)]
     assert html_extract.extract(odd.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("open_tag", ["<script>var s='<!--';</script>", "<style>/* <!-- */</style>", "<textarea><!--</textarea>", "<p title='<!--'></p>"])
+def test_comment_marks_that_open_none(open_tag):
+    text = "".join(f"<p>{BODY}{i}</p>" for i in range(4))
+    want = "\n".join(f"{BODY}{i}" for i in range(4))
+    assert main_text(page(f"{open_tag}<article>{text}</article>")) == want
+    assert main_text(page(f"<article>{text}</article>{open_tag}<!-- without end <p>{BODY}</p>")) == want

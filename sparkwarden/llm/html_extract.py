@@ -8,7 +8,8 @@ region is the smallest element that holds most of the clusters' text, or the
 article or main element around it; its lines are the result, short ones too.
 
 Menus, page headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles,
-told by element, role or class, never count and never return.
+told by element, role or class, never count and never return. A class or id tells only as a whole (see ``_marked``), and
+not by itself if its element holds more than half of the page's text.
 
 Defined results: null and empty html give an empty text. Character references
 are decoded once, white space in a line becomes one space, and lines are
@@ -49,29 +50,57 @@ MARKED = frozenset(
 #: What an element closes that has no end tag of its own.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CONTAINERS = frozenset("article main section div td body blockquote table center".split())
-_NAMES = re.compile(r"[a-z0-9]+(?:-header)?")
+#: What a marked name may have beside it and be marked still, as in main-nav or related-posts.
+BESIDE = frozenset(
+    "area articles bar block bottom box btn button buttons col column container form global icon icons inner item items left link links list outer panel posts primary right row secondary site slot top unit"
+    " wrap wrapper".split()
+)
+#: Elements that are headings or text themselves; their ids are often made from their words.
+TEXTUAL = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd blockquote pre figcaption caption td th span a".split())
+#: What readers wrote is no main text, however long.
+DISCUSSION = frozenset("comment comments reply respond replies".split())
+_PIECES = re.compile(r"[a-z]+")
+KEPT, MAYBE, GONE = 0, 1, 2
 
 
-def _boilerplate(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> bool:
-    if tag in NEVER or tag == "header" and not in_article:
+def _marked(token: str) -> bool:
+    """Whether a class or id as a whole says boilerplate: no piece of it says anything else."""
+    if token in MARKED:
         return True
+    pieces = _PIECES.findall(token)
+    return not MARKED.isdisjoint(pieces) and all(x in MARKED or x in BESIDE for x in pieces)
+
+
+def _boilerplate(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> int:
+    """KEPT, GONE, or MAYBE: by its class or id alone, so that it stays if it holds most of the page's text."""
+    if tag in NEVER or tag == "header" and not in_article:
+        return GONE
+    out = KEPT
     for name, value in attrs:
         if name in ("class", "id") and value and tag not in ("html", "body", "article", "main"):
-            if not MARKED.isdisjoint(_NAMES.findall(value.lower())):
-                return True
+            for token in value.lower().split() if name == "class" or tag not in TEXTUAL else ():
+                if _marked(token):
+                    out = max(out, MAYBE if DISCUSSION.isdisjoint(_PIECES.findall(token)) else GONE)
         elif name == "role" and value and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-    return False
+            return GONE
+    return out
 
 
 class _Lines(HTMLParser):
     """Lines of a page, with the elements that they are in."""
 
-    def __init__(self):
+    def __init__(self, stay: frozenset[int] = frozenset()):
         super().__init__(convert_charrefs=True)
+        self.stay = stay  # numbers of MAYBE elements that aren't dropped
+        self.maybes = 0
+        self.gone = 0  # how many open elements are GONE
+        self.seen = self.body = 0  # characters outside those; and of these, not dropped and in an article or main element
+        self.bodies = 0
+        self.marks: list[tuple[int, int, bool] | None] = []  # of open MAYBE elements: number, ``seen`` before, whether in an article or main element
+        self.marked: list[tuple[int, int, bool]] = []  # number, characters, the same
         self.open: list[tuple[str, int]] = []  # element and its container's number, or -1
         self.dropped = 0  # how many open elements are boilerplate
-        self.drops: list[bool] = []
+        self.drops: list[int] = []
         self.articles = 0
         self.links = 0
         self.parent = [-1]  # container 0 is the page
@@ -93,7 +122,13 @@ class _Lines(HTMLParser):
         tag, container = self.open.pop()
         if tag in BLOCKS:
             self.end_line()
-        self.dropped -= self.drops.pop()
+        drop = self.drops.pop()
+        self.dropped -= drop > KEPT
+        self.gone -= drop == GONE
+        mark = self.marks.pop()
+        if mark:
+            self.marked.append((mark[0], self.seen - mark[1], mark[2]))
+        self.bodies -= tag in ("article", "main")
         self.articles -= tag == "article"
         self.links -= tag == "a"
         if container >= 0:
@@ -122,9 +157,18 @@ class _Lines(HTMLParser):
             self.kind.append(tag)
             self.at = container
         drop = _boilerplate(tag, attrs, self.articles > 0)
+        mark = None
+        if drop == MAYBE:
+            mark = self.maybes, self.seen, self.bodies > 0
+            if self.maybes in self.stay:
+                drop = KEPT
+            self.maybes += 1
         self.open.append((tag, container))
         self.drops.append(drop)
-        self.dropped += drop
+        self.marks.append(mark)
+        self.dropped += drop > KEPT
+        self.gone += drop == GONE
+        self.bodies += tag in ("article", "main")
         self.articles += tag == "article"
         self.links += tag == "a"
 
@@ -151,6 +195,11 @@ class _Lines(HTMLParser):
         return k if k >= 0 else len(self.rawdata)  # a comment without end takes the rest
 
     def handle_data(self, data: str) -> None:
+        if not self.gone:
+            size = len(data.strip())
+            self.seen += size
+            if self.bodies and not self.dropped:
+                self.body += size
         if not self.dropped:
             self.parts.append(data)
             if self.links:
@@ -165,15 +214,24 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return full / np.convolve(np.pad(np.ones(len(ratios)), r), kernel, "valid")
 
 
-def main_text(html: str | None) -> str:
-    if not html:
-        return ""
-    p = _Lines()
+def _parsed(html: str, stay: frozenset[int] = frozenset()) -> _Lines:
+    p = _Lines(stay)
     p.feed(html)
     p.close()
     while p.open:
         p.pop()
     p.end_line()
+    return p
+
+
+def main_text(html: str | None) -> str:
+    if not html:
+        return ""
+    p = _parsed(html)
+    # a name is no reason to drop most of the text, unless an article stands beside it
+    stay = frozenset(k for k, size, in_body in p.marked if 2 * size > p.seen and (in_body or not p.body))
+    if stay:
+        p = _parsed(html, stay)
     lines = p.lines
     if not lines:
         return ""

@@ -53,3 +53,24 @@ def test_comment_marks_that_open_none(open_tag):
     want = "\n".join(f"{BODY}{i}" for i in range(4))
     assert main_text(page(f"{open_tag}<article>{text}</article>")) == want
     assert main_text(page(f"<article>{text}</article>{open_tag}<!-- without end <p>{BODY}</p>")) == want
+
+
+@pytest.mark.parametrize("attrs", ["class='content with-sidebar'", "class=has-banner", "class='post no-comments'", "class=sidebar", "id=notice"])
+def test_wrappers_with_marked_names(attrs):
+    text = "".join(f"<p>{BODY}{i}</p>" for i in range(4))
+    want = "\n".join(f"{BODY}{i}" for i in range(4))
+    assert main_text(page(f"<div {attrs}><article>{text}</article></div>")) == want
+    assert main_text(page(f"<div {attrs}>{text}</div>")) == want
+    assert main_text(page(f"<article><div {attrs}>{text}</div></article>")) == want
+
+
+def test_slugs_and_names_of_text_stay():
+    inner = f"<h1>Head</h1><p>{BODY}</p><h2 id='social-impact'>Impact</h2><section id='cookie-law'><p>{BODY}1</p></section><h2 id=social>Social</h2><div id='related-work'><p>{BODY}2</p></div><p class='notice-text'>Note.</p>"
+    assert main_text(page(f"<article>{inner}</article>")) == f"Head\n{BODY}\nImpact\n{BODY}1\nSocial\n{BODY}2\nNote."
+
+
+@pytest.mark.parametrize("attrs", ["class=site_nav-links", "class='x related-posts'", "id=sidebar-left", "class=ad-1", "class='comment-list'"])
+def test_compound_names_of_boilerplate_go(attrs):
+    text = "".join(f"<p>{BODY}{i}</p>" for i in range(4))
+    junk = f"<div {attrs}><p>{BODY} {BODY}</p></div>"
+    assert BODY + " " not in main_text(page(f"<article>{text}{junk}</article>"))

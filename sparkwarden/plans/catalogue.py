@@ -473,7 +473,7 @@ def reservoir_sample_exact_n(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kmeans_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trained centroids; sums of floats in any order aren't for SQL to repeat."""
     points = kept(index.decoded(_inputs(spark, sf_dir)[1]), "points")
-    return index.kmeans(points, NLIST, 4)
+    return index.kmeans(points, NLIST)
 
 
 # Evaluation -----------------------------------------------------------------

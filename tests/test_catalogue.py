@@ -35,5 +35,12 @@ def test_trained_centroids(spark):
     assert catalogue.kmeans_train(spark, SF).count() == catalogue.NLIST
 
 
+def test_training_has_all_iterations(spark, monkeypatch):
+    steps, step = [], catalogue.index.lloyd_step
+    monkeypatch.setattr(catalogue.index, "lloyd_step", lambda *a: steps.append(1) or step(*a))
+    catalogue.kmeans_train(spark, SF)
+    assert len(steps) == catalogue.index.ITERATIONS == 16
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 50

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from typing import TypeVar
 
@@ -15,6 +13,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.storage import kept as written
+from ..plans.storage import settled, shared_dir
+
+__all__ = ["settled", "shared_dir", "written"]
+
 T = TypeVar("T")
 
 #: Text bytes that a Python operator turns into numpy arrays at once.
@@ -25,33 +28,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only where that setting is absent (a local test session) a temporary
-    folder takes its place.
-    """
-    sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    known = sc._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get().rstrip("/")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="sparkwarden-"))
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read back.
-
-    This cuts the lineage: an executor lost later costs no recomputation of
-    what is before, and a plan used twice runs once.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def content_key(text: Column) -> Column:
+    """A 64-bit hash that, with the id, tells a row of documents from others with the same id. Rows equal in both are copies of one row."""
+    return F.xxhash64(text.cast("string"))
 
 
 def key_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -99,9 +78,18 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id isn't among ``ids`` (one column, __id)."""
-    return docs.join(small(ids), docs[id_col].cast("long") == ids["__id"], "left_anti")
+def without(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: str = "left_anti") -> DataFrame:
+    """The rows of ``docs`` whose id (null is an id too) and text aren't among ``rows`` (__id, __text_key)."""
+    same = docs[id_col].cast("long").eqNullSafe(rows["__id"]) & (content_key(docs[text_col]) == rows["__text_key"])
+    return docs.join(small(rows), same, how)
+
+
+def once(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of those that are equal in id and text; only such rows pass through a shuffle."""
+    keys = docs.select(docs[id_col].cast("long").alias("__id"), content_key(docs[text_col]).alias("__text_key"))
+    twice = written(keys.groupBy("__id", "__text_key").count().filter("count > 1").drop("count"), "repeated-rows")
+    repeated = without(docs, twice, id_col, text_col, "left_semi").dropDuplicates([id_col, text_col])
+    return without(docs, twice, id_col, text_col).union(repeated)
 
 
 _resident: dict[tuple, object] = {}

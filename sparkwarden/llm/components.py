@@ -1,4 +1,8 @@
-"""Connected components of an edge table, by alternating large and small stars."""
+"""Connected components of an edge table, by alternating large and small stars.
+
+Defined results: edges with a null end are left out, and so are loops; repeated edges count once.
+An empty table has no components.
+"""
 
 from __future__ import annotations
 
@@ -33,12 +37,12 @@ def components(edges: DataFrame) -> DataFrame:
     folder; the rounds end when one changes nothing, after about the logarithm
     of the longest path.
     """
-    now = common.written(edges.select("u", "v").distinct(), "edges")
+    now = common.written(edges.select("u", "v").filter("u <> v").distinct(), "edges")
     state = _state(now)
     if not state[0]:
         return now
     while True:
-        now = common.written(_small_star(_large_star(now)), "edges")
+        now = common.written(_small_star(_large_star(now)), "edges")  # earlier rounds go with the caller's ``settled``
         after = _state(now)
         if after == state:
             return now

@@ -10,16 +10,19 @@ moved by their offset in the phrase. Documents of a segment are parted by a
 position that holds no term, so no phrase runs from one to the next.
 
 Terms are 64-bit hashes of whole words. The index may keep all terms, or those
-of a given table alone: other terms' lists are never read by its phrases.
+of a given table alone: other terms' lists are never read by its phrases. The test set's terms are
+such a table if they are at most MAX_TERMS (8 bytes each go to every task); otherwise all terms are kept, with the same result.
 
-Test phrases go to the tasks in blocks of at most BLOCK_BYTES of text; a
-larger test set takes as many searches as it has blocks, whose hits are then
+Test phrases go to the tasks in blocks of at most BLOCK_BYTES of text. A
+larger test set takes as many searches as it has blocks, one after the other: the driver
+holds one block at a time, a block's hits are a table before the next is read, and all hits are
 united document by document.
 
 Defined results: a null or empty text has no words, n_hit 0 and is clean. Item
 texts that are null, or have no word, never occur. Item ids are strings here;
 a null item id counts as "". Rows come back one for each document row, repeated
-rows included. Other columns are not read.
+rows included. ``clean`` decides by id and text, so that rows that share an id and differ in text don't share their fate.
+Other columns are not read.
 """
 
 from __future__ import annotations
@@ -39,22 +42,32 @@ WINDOW = 13
 SHARE = 20
 #: Bytes of test text that one search carries to every task.
 BLOCK_BYTES = 4 << 20
+#: Terms of the test set that go to every task.
+MAX_TERMS = 1 << 20
 
 SEGMENT = pa.schema(
     [
         ("segment", pa.string()),
         ("doc_ids", pa.list_(pa.int64())),
+        ("text_keys", pa.list_(pa.int64())),
         ("first", pa.list_(pa.int64())),  # words before each document, and of all
         ("terms", pa.list_(pa.int64())),  # ascending as unsigned
         ("counts", pa.list_(pa.int32())),
         ("postings", pa.binary()),  # uint32 positions, by term
     ]
 )
-SEGMENT_SQL = "segment string, doc_ids array<long>, first array<long>, terms array<long>, counts array<int>, postings binary"
+SEGMENT_SQL = "segment string, doc_ids array<long>, text_keys array<long>, first array<long>, terms array<long>, counts array<int>, postings binary"
 
 
-def _vocabulary(texts: list[str]) -> np.ndarray:
-    return np.unique(wordhash.words(pa.array(texts, pa.string()), wordhash.ALNUM).hashes())
+def vocabulary(items: DataFrame, text_col: str = "text", limit: int = MAX_TERMS) -> np.ndarray | None:
+    """Sorted hashes of all terms of the test set, or None if they are more than ``limit``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, 0):
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(wordhash.words(batch.column(0), wordhash.ALNUM).hashes()).view(np.int64))], names=["term"])
+
+    found = items.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "term long").distinct().limit(limit + 1).toArrow()
+    return np.sort(found.column("term").to_numpy().view(np.uint64)) if found.num_rows <= limit else None
 
 
 def _member(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -83,6 +96,7 @@ def build_index(docs: DataFrame, terms: np.ndarray | None = None, id_col: str =
             row = {
                 "segment": uuid.uuid4().hex,
                 "doc_ids": batch.column(0).to_pylist(),
+                "text_keys": batch.column(2).to_pylist(),
                 "first": w.first.tolist(),
                 "terms": h[cuts].view(np.int64).tolist(),
                 "counts": np.diff(np.append(cuts, len(h))).tolist(),
@@ -90,12 +104,13 @@ def build_index(docs: DataFrame, terms: np.ndarray | None = None, id_col: str =
             }
             yield pa.RecordBatch.from_pylist([row], schema=SEGMENT)
 
-    return common.key_text(docs, id_col, text_col).mapInArrow(run, SEGMENT_SQL)
+    rows = common.key_text(docs, id_col, text_col).withColumn("text_key", common.content_key(F.col("text")))
+    return rows.mapInArrow(run, SEGMENT_SQL)
 
 
 class Segment:
     def __init__(self, row: dict):
-        self.doc_ids = row["doc_ids"]
+        self.doc_ids, self.text_keys = row["doc_ids"], row["text_keys"]
         self.first = np.array(row["first"], np.int64)
         self.words = np.diff(self.first)
         self.begin = self.first[:-1] + np.arange(len(self.doc_ids))  # position of each document's first word
@@ -170,8 +185,8 @@ def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple
     yield block
 
 
-FOUND = pa.schema([("segment", pa.string()), ("nth", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
-FOUND_SQL = "segment string, nth int, doc_id long, n_words long, starts array<long>, ends array<long>, items array<string>"
+FOUND = pa.schema([("segment", pa.string()), ("nth", pa.int32()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
+FOUND_SQL = "segment string, nth int, doc_id long, text_key long, n_words long, starts array<long>, ends array<long>, items array<string>"
 
 
 def _spans(edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -180,8 +195,8 @@ def _spans(edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(change == 1), np.flatnonzero(change == -1)
 
 
-def phrase_matches(index: DataFrame, block: list[tuple[str, str]], window: int = WINDOW) -> DataFrame:
-    """For every document: the spans of words [start, end) that a block's phrases hit, and the items they are from."""
+def phrase_matches(index: DataFrame, block: list[tuple[str, str]], window: int = WINDOW, all_docs: bool = True) -> DataFrame:
+    """For every document, or every one that is hit: the spans of words [start, end) that a block's phrases hit, and the items they are from."""
     ids = [i for i, _ in block]
     by_length = _windows([t for _, t in block], window)
 
@@ -208,12 +223,14 @@ def phrase_matches(index: DataFrame, block: list[tuple[str, str]], window: int =
                         "segment": row["segment"],
                         "nth": d,
                         "doc_id": i,
+                        "text_key": s.text_keys[d],
                         "n_words": int(s.words[d]),
                         "starts": (starts[cut[d] : cut[d + 1]] - s.begin[d]).tolist(),
                         "ends": (ends[cut[d] : cut[d + 1]] - s.begin[d]).tolist(),
                         "items": list(met[d]),
                     }
                     for d, i in enumerate(s.doc_ids)
+                    if all_docs or met[d]
                 ]
                 yield pa.RecordBatch.from_pylist(out, schema=FOUND)
 
@@ -248,6 +265,7 @@ def _united(found: DataFrame) -> DataFrame:
     """One row a document from the rows that several searches gave it."""
     rows = found.groupBy("segment", "nth").agg(
         F.first("doc_id").alias("doc_id"),
+        F.first("text_key").alias("text_key"),
         F.first("n_words").alias("n_words"),
         F.flatten(F.collect_list("starts")).alias("starts"),
         F.flatten(F.collect_list("ends")).alias("ends"),
@@ -267,19 +285,23 @@ def _united(found: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, FOUND_SQL)
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items, starts, ends (spans of words that are hit) and contaminated."""
+def _searched(docs: DataFrame, items: DataFrame, window: int, id_col: str, text_col: str, item_id_col: str, item_text_col: str) -> DataFrame:
+    index = common.written(build_index(docs, vocabulary(items, item_text_col), id_col, text_col), "positional-index")
     blocks = _blocks(items, item_id_col, item_text_col)
-    terms = np.zeros(0, np.uint64)
-    for block in _blocks(items, item_id_col, item_text_col):
-        terms = np.union1d(terms, _vocabulary([t for _, t in block]))
-    index = common.written(build_index(docs, terms, id_col, text_col), "positional-index")
-    searches = [phrase_matches(index, block, window) for block in blocks]
-    found = searches[0]
-    if len(searches) > 1:
-        for more in searches[1:]:
-            found = found.union(more)
-        found = _united(found)
+    block, following = next(blocks), next(blocks, None)
+    found = phrase_matches(index, block, window)
+    if following is None:
+        return found
+    found = common.written(found, "phrase-hits")
+    while following is not None:
+        found = found.unionByName(common.written(phrase_matches(index, following, window, all_docs=False), "phrase-hits"))
+        following = next(blocks, None)
+    return _united(found)
+
+
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items, starts, ends (spans of words that are hit), contaminated and text_key (tells rows of one id)."""
+    found = _searched(docs, items, window, id_col, text_col, item_id_col, item_text_col)
     n_hit = F.aggregate(F.zip_with("ends", "starts", lambda e, s: e - s), F.lit(0).cast("long"), lambda a, b: a + b)
     return found.select(
         "doc_id",
@@ -290,10 +312,15 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
         "starts",
         "ends",
         ((n_hit > 0) & (SHARE * n_hit >= F.col("n_words"))).alias("contaminated"),
+        "text_key",
     )
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, without those whose id is contaminated. Rows with a null id stay."""
-    found = contamination(docs, items, window, id_col, text_col).filter("contaminated and doc_id is not null")
-    return common.without(docs, common.written(found.select(F.col("doc_id").alias("__id")).distinct(), "contaminated"), id_col)
+    """The rows of ``docs``, all columns, without those that are contaminated."""
+
+    def bad() -> DataFrame:
+        found = contamination(docs, items, window, id_col, text_col).filter("contaminated")
+        return found.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text_key")).distinct()
+
+    return common.without(docs, common.settled(docs.sparkSession, bad, "contaminated"), id_col, text_col)

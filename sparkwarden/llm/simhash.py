@@ -17,7 +17,8 @@ all pairs pass the bound on counts); the README has the figures.
 
 Defined results: null and empty texts have fingerprint 0 and link like any
 other. Repeated rows come back one each. A null id is kept; component_id is
-the smallest non-null id. Other columns are not read.
+the smallest non-null id, or null if there is none. ``deduplicate`` decides by row, that is by id and text: rows that share
+an id (a null one too) and differ in text are different documents. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -60,14 +61,15 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+    """doc_id, text_key (see ``common.content_key``) and fp, the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, 1):
             prints = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(prints)], names=["doc_id", "text_key", "fp"])
 
-    return common.key_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    rows = common.key_text(docs, id_col, text_col).withColumn("text_key", common.content_key(F.col("text")))
+    return rows.mapInArrow(run, "doc_id long, text_key long, fp long")
 
 
 class Forest:
@@ -173,26 +175,43 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     return pairs.applyInArrow(compare, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id (the smallest id reachable by links)."""
+#: Rows of a fingerprint from which they are joined by broadcast, or a larger share of all rows; so there are at most SHARES such fingerprints.
+HOT_ROWS, SHARES = 10_000, 10_000
+
+
+def _grouped(docs: DataFrame, radius: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text_key, fp, component_id (smallest id) and first_key: the least text_key among the rows with that id, or with none where all are null."""
     prints = common.written(fingerprints(docs, id_col, text_col), "simhash")
-    distinct = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")  # the first row of a group has the smallest id
+    distinct = common.written(prints.groupBy("fp").agg(F.min(row).alias("first"), F.count("*").alias("n")), "simhash-distinct")
     tied = components(links(distinct.select("fp"), radius))
-    rooted = distinct.join(tied.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("v", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_print = common.written(rooted.join(least, "root").select("fp", "component_id"), "simhash-components")
-    return prints.join(of_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    rooted = distinct.join(tied.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "first", "n", F.coalesce("v", "fp").alias("root"))
+    first = rooted.groupBy("root").agg(F.min("first").alias("group_first"))
+    of_print = rooted.join(first, "root").select("fp", "n", F.col("group_first.doc_id").alias("component_id"), F.col("group_first.text_key").alias("first_key"))
+    of_print = common.written(of_print, "simhash-components")
+    hot = F.col("n") > max(HOT_ROWS, prints.count() // SHARES)
+    # fingerprints with very many rows go to every task; the rest are joined by a shuffle
+    marked = prints.join(F.broadcast(of_print.filter(hot).drop("n").withColumn("hot", F.lit(True))), "fp", "left")
+    some = marked.filter("hot").drop("hot")
+    return some.unionByName(marked.filter("hot is null").select("fp", "doc_id", "text_key").join(of_print.filter(~hot).drop("n"), "fp"))
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id (the smallest id reachable by links)."""
+    return _grouped(docs, radius, id_col, text_col).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, without those that aren't the smallest id of their component.
+    """One row of each component, all columns: that with the smallest id, and of rows with this id the one with the least hash of its text.
 
-    Rows that repeat an id and text count as one document, and one of them
-    stays. Rows with a null id stay.
+    Rows without an id come after all others. Rows equal in id and text count
+    as one document, and one of them stays.
     """
-    found = near_duplicates(docs, radius, id_col, text_col).filter("doc_id is not null")
-    found = common.written(found.select("doc_id", "component_id"), "simhash-groups")
-    losers = common.written(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct(), "simhash-losers")
-    kept = common.without(docs, losers, id_col)
-    repeated = found.groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    return kept.dropDuplicates([id_col, text_col]) if repeated else kept
+    spark, key = docs.sparkSession, [F.col("doc_id").alias("__id"), F.col("text_key").alias("__text_key")]
+    found = common.settled(spark, lambda: _grouped(docs, radius, id_col, text_col).select("doc_id", "text_key", "component_id", "first_key"), "simhash-groups")
+    lost = ~(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("first_key")))
+    losers = common.written(found.filter(lost).select(*key).distinct(), "simhash-losers")
+    twice = common.written(found.filter(~lost).groupBy(*key).count().filter("count > 1").drop("count"), "simhash-repeated")
+    kept = common.without(docs, losers, id_col, text_col)
+    repeated = common.without(kept, twice, id_col, text_col, "left_semi").dropDuplicates([id_col, text_col])
+    return common.without(kept, twice, id_col, text_col).union(repeated)

@@ -115,6 +115,25 @@ def test_one_of_each_group_stays(spark):
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 9]
 
 
+REPEATS = [(3, "b"), (9, "a"), (9, "b"), (None, "c"), (None, "c"), (None, "d"), (None, "b"), (7, "e"), (7, "e"), (5, "f"), (6, "f")]
+
+
+@pytest.mark.parametrize("extra", [[], [(7, "e")]])
+def test_rows_that_share_an_id_are_told_by_text(spark, extra):
+    """What stays doesn't depend on whether some other id is repeated."""
+    words = lambda x: " ".join(f"{x}{i * i % 97}x{i}" for i in range(120))
+    rows = [(i, words(t)) for i, t in REPEATS + extra]
+    kept = simhash.deduplicate(clashing(documents(spark, rows)))
+    assert sorted((str(r.doc_id), r.text[0]) for r in kept.collect()) == [("3", "b"), ("5", "f"), ("7", "e"), ("9", "a"), ("None", "c"), ("None", "d")]
+
+
+def test_hot_fingerprints_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT_ROWS", 3)
+    rows = [(i, "") for i in range(20)] + [(100 + i, f"text number {i} of some words") for i in range(5)]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(documents(spark, rows)).collect()}
+    assert got == {i: 0 for i in range(20)} | {100 + i: 100 + i for i in range(5)}
+
+
 # Substrings
 
 
@@ -239,6 +258,61 @@ def test_whole_copies_go(spark):
     assert got == {1: body, 3: "intro end of it", 4: "short", 5: None}
 
 
+def test_passages_of_rows_that_share_an_id(spark):
+    body, other = (" ".join(f"{x}{i}" for i in range(80)) for x in "uv")
+    rows = [(1, body), (2, body), (2, "a short text"), (2, other), (None, other + " and more"), (None, "x " + body), (None, "nothing"), (5, other + " to the end"), (5, other + " to the end")]
+    docs = clashing(documents(spark, rows))
+    got = {(r.doc_id, r.source_doc_id, r.end - r.start) for r in substring.passages(docs).collect()}
+    assert got - {(2, 1, 80)} == {(1, None, 80), (2, None, 80), (5, None, 80)}
+    left = sorted((str(r.doc_id), r.text) for r in substring.remove(docs).collect())
+    assert left == sorted([("2", "a short text"), ("None", other + " and more"), ("None", "x " + body), ("None", "nothing"), ("5", "to the end"), ("5", "to the end")])
+
+
+def test_an_earlier_row_with_very_many_pairs(spark, monkeypatch):
+    monkeypatch.setattr(substring, "HOT_PAIRS", 4)
+    body = " ".join(f"h{i}" for i in range(60))
+    rows = [(i, f"{' '.join(f'q{i}x{k}' for k in range(20))} {body}") for i in range(40)]
+    got = substring.passages(documents(spark, rows)).collect()
+    assert {(r.doc_id, r.start, r.end) for r in got if r.source_doc_id == 0} == {(i, 20, 80) for i in range(1, 40)}
+    assert all(r.source_doc_id < r.doc_id and (r.start, r.end) == (20, 80) for r in got)
+
+
+def edited(r, words, n, edits, kinds):
+    """Two versions of a passage of n words, with as many edits, spread at random."""
+    p = [r.choice(words) for _ in range(n)]
+    q = list(p)
+    for at in sorted(r.sample(range(n), edits), reverse=True):
+        kind = r.choice(kinds)
+        q[at : at + 1] = [] if kind == "delete" else [r.choice(words)] + [q[at]] * (kind == "insert")
+    return p, q
+
+
+@pytest.mark.parametrize("n, edits", [(60, 1), (100, 2), (200, 3), (200, 4), (400, 8)])
+def test_recall_of_whole_near_duplicate_passages(spark, n, edits):
+    """Passages with Jaccard of 0.8 or more, in documents of their own; whole: all but the few words beyond the last edit at either end."""
+    r = random.Random(n * 10 + edits)
+    vocab = [f"v{i}" for i in range(5000)]
+    rows, want = [], {}
+    while len(want) < 150:
+        p, q = edited(r, vocab, n, edits, ("change", "change", "insert", "delete"))
+        x, y = shingles(p), shingles(q)
+        if len(x & y) < 0.8 * len(x | y):
+            continue
+        k = len(want)
+        before, after = (r.randint(5, 120) for _ in range(2))
+        fresh = lambda m: [r.choice(vocab) for _ in range(m)]
+        rows += [(k, " ".join(fresh(after) + p + fresh(before))), (1000 + k, " ".join(fresh(before) + q + fresh(after)))]
+        want[1000 + k] = (before, before + len(q))
+    got = defaultdict(list)
+    for g in substring.passages(documents(spark, rows)).collect():
+        got[g.doc_id].append((g.start, g.end))
+    whole = sum(any(s <= lo + 5 and e >= hi - 5 for s, e in got[i]) for i, (lo, hi) in want.items())
+    inside = sum(all(s >= lo - 3 and e <= hi + 3 for s, e in got[i]) for i, (lo, hi) in want.items())
+    some = sum(bool(got[i]) for i in want)
+    print(n, edits, "whole", whole, "some", some, "inside", inside)
+    assert whole >= 0.9 * len(want) and inside >= 0.97 * len(want)
+
+
 @pytest.mark.parametrize("rows", [EDGE, [], [(i, "") for i in range(3)]])
 def test_odd_documents(spark, rows):
     docs = clashing(documents(spark, rows))
@@ -304,10 +378,14 @@ def test_both_copies_of_a_passage_in_one_document(spark, partitions):
     assert have[2] >= {*range(70, 130), *range(220, 280)} and 1 not in have
 
 
+def anchor(k, c, rep_c, lo, hi):
+    return k, c, rep_c, int(substring._reach(np.int64(c), np.int64(lo), np.int64(hi)))
+
+
 def test_edited_passage_between_repeated_lines():
     """Every repeat of a line begins a chain on each anchor's diagonal; those don't come between the halves of a passage."""
     r = np.random.default_rng(3)
-    fresh = lambda n: r.integers(1000, 60000, n).astype(np.uint16)
+    fresh = lambda n: r.integers(1000, 1 << 30, n).astype(np.uint32)
     line = fresh(20)
     found = 0
     for _ in range(50):
@@ -316,8 +394,8 @@ def test_edited_passage_between_repeated_lines():
         passage = np.concatenate([fresh(21), line, fresh(21)])
         a[at_a : at_a + 62] = b[at_b : at_b + 62] = passage
         a[at_a + 31] = 999  # one word of the line
-        anchors = [(k, at_a + p, at_b + p, at_a, at_a + 61) for k, p in enumerate((3, 45))]
-        anchors += [(k % 4, 70 * x + 5, 5, 70 * x, 70 * x + 60) for k, x in enumerate(range(1, 14))] + [(k % 4, 5, 70 * x + 5, 0, 60) for k, x in enumerate(range(1, 14))]
+        anchors = [anchor(k, at_a + p, at_b + p, at_a, at_a + 61) for k, p in enumerate((3, 45))]
+        anchors += [anchor(k % 4, 70 * x + 5, 5, 70 * x, 70 * x + 60) for k, x in enumerate(range(1, 14))] + [anchor(k % 4, 5, 70 * x + 5, 0, 60) for k, x in enumerate(range(1, 14))]
         found += any(i0 <= at_a and i1 >= at_a + 62 and j0 <= at_b and j1 >= at_b + 62 for i0, i1, j0, j1, _ in substring.verified(a, b, anchors))
     assert found == 50
 
@@ -327,9 +405,9 @@ def test_edited_passage_between_repeated_lines():
 @pytest.mark.parametrize("edit", ["insert", "delete"])
 def test_one_edit_with_anchors_on_one_side(edit, side, at):
     r = np.random.default_rng(at)
-    fresh = lambda n: r.integers(1000, 60000, n).astype(np.uint16)
+    fresh = lambda n: r.integers(1000, 1 << 30, n).astype(np.uint32)
     p = fresh(54)
     q = np.concatenate([p[:at], fresh(1), p[at:]]) if edit == "insert" else np.concatenate([p[:at], p[at + 1 :]])
     a, b = np.concatenate([fresh(80), q, fresh(60)]), np.concatenate([fresh(30), p, fresh(90)])
-    anchors = [(k, 80 + 2, 30 + 2, 80, 80 + len(q)) if side == 0 else (k, 80 + len(q) - 6, 30 + 48, 80, 80 + len(q)) for k in (0, 1)]
+    anchors = [anchor(k, 80 + 2, 30 + 2, 80, 80 + len(q)) if side == 0 else anchor(k, 80 + len(q) - 6, 30 + 48, 80, 80 + len(q)) for k in (0, 1)]
     assert [x[:4] for x in substring.verified(a, b, anchors)] == [(80, 80 + len(q), 30, 84)]

@@ -2,6 +2,9 @@
 
 STAGES are applied in order; each gets what its predecessor kept, as a Parquet table
 read again, and all but the last return the columns of ``documents``.
+
+Rows are told by id and text: rows that share an id (a null one too) and differ in text are
+different documents in every stage, and rows equal in both have one fate (near-duplicate removal keeps one of them).
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group: its smallest id."""
+    """One document of each SimHash group: that with the smallest id."""
     return simhash.deduplicate(docs)
 
 
@@ -55,7 +58,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; what a stage keeps on its way is deleted when its table is written."""
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = common.written(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = common.settled(spark, lambda f=stage, d=docs: f(spark, d, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

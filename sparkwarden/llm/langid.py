@@ -31,8 +31,10 @@ from . import common, wordhash
 DIMENSIONS = 1024
 FOLDS, HELD_OUT = 3, 1
 UNKNOWN = "und"
-#: Trigram vectors that a worker keeps.
-KEEP = 32_768
+#: Trigram vectors that a worker keeps, and that it adds up at once: 128 and 16 MB.
+KEEP, STRIP = 32_768, 4096
+#: Texts that are bundled together, and how many of them make a trigram a shared one.
+TOGETHER, SHARED = 128, 6
 
 
 def held_out(id_col: Column) -> Column:
@@ -81,44 +83,63 @@ def _is_letter(points: np.ndarray) -> np.ndarray:
 
 
 class Bundler:
-    """Bundled vectors of texts, by trigram counts times trigram vectors."""
+    """Bundled vectors of texts: each text's trigram counts times those trigrams' vectors.
+
+    Memory is bounded whatever the texts: a table of KEEP trigram vectors, begun anew when it
+    is full, and STRIP vectors at work.
+    """
 
     def __init__(self):
-        self.codes, self.vectors = np.zeros(0, np.int64), np.zeros((0, DIMENSIONS), np.float32)
+        self.codes, self.slots = np.zeros(0, np.int64), np.zeros(0, np.int64)  # ascending codes, and where their vectors are
+        self.table = np.empty((KEEP, DIMENSIONS), np.float32)
 
-    def _vectors(self, codes: np.ndarray) -> np.ndarray:
+    def slots_of(self, codes: np.ndarray) -> np.ndarray:
+        """Where the table has the vectors of distinct codes, at most STRIP, made where need be."""
         at = np.minimum(np.searchsorted(self.codes, codes), max(0, len(self.codes) - 1))
-        known = self.codes[at] == codes if len(self.codes) else np.zeros(len(codes), bool)
-        new = codes[~known]
+        new = codes if not len(self.codes) else codes[self.codes[at] != codes]
+        if len(self.codes) + len(new) > KEEP:
+            self.codes, self.slots, new = np.zeros(0, np.int64), np.zeros(0, np.int64), codes
         if len(new):
+            begin = len(self.codes)
             parts = np.stack([new >> 42, new >> 21 & 0x1FFFFF, new & 0x1FFFFF])
             letters, where = np.unique(parts, return_inverse=True)
             of = letter_vectors(letters)
             first, second, third = where.reshape(3, -1)
-            made = np.roll(of, 2, axis=1)[first] * np.roll(of, 1, axis=1)[second] * of[third]
-            if len(self.codes) + len(new) > KEEP:
-                self.codes, self.vectors = np.zeros(0, np.int64), np.zeros((0, DIMENSIONS), np.float32)
-                if known.any():
-                    return np.concatenate([self._vectors(c) for c in np.array_split(codes, -(-len(codes) // KEEP))]) if len(codes) > KEEP else self._vectors(codes)
-                if len(new) > KEEP:  # new holds all of codes
-                    return made
-            order = np.argsort(both := np.concatenate([self.codes, new]), kind="stable")
-            self.codes, self.vectors = both[order], np.concatenate([self.vectors, made])[order]
-            at = np.searchsorted(self.codes, codes)
-        return self.vectors[at]
+            self.table[begin : begin + len(new)] = np.roll(of, 2, axis=1)[first] * np.roll(of, 1, axis=1)[second] * of[third]
+            both, slots = np.concatenate([self.codes, new]), np.concatenate([self.slots, np.arange(begin, begin + len(new))])
+            order = np.argsort(both, kind="stable")
+            self.codes, self.slots = both[order], slots[order]
+        return self.slots[np.searchsorted(self.codes, codes)]
 
     def bundle(self, texts: list[str | None]) -> np.ndarray:
-        """A row for each text: the sum of its trigram vectors, scaled to length 1 (or 0)."""
+        """A row for each text: the sum of its trigram vectors, scaled to length 1 (or 0).
+
+        Sums are of whole numbers, so their order doesn't matter: trigrams that many of TOGETHER texts have go
+        through a matrix product, the others text by text.
+        """
         out = np.zeros((len(texts), DIMENSIONS), np.float32)
-        for at in range(0, len(texts), 128):
-            grams = [trigrams(t) for t in texts[at : at + 128]]
+        for at in range(0, len(texts), TOGETHER):
+            grams = [trigrams(t) for t in texts[at : at + TOGETHER]]
             codes, where = np.unique(np.concatenate(grams), return_inverse=True)
-            n = len(codes)
-            if not n:
-                continue
-            counts = np.bincount(where + n * np.repeat(np.arange(len(grams)), [len(g) for g in grams]), minlength=n * len(grams)).astype(np.float32).reshape(-1, n)
-            for k in range(0, n, KEEP // 2):
-                out[at : at + len(grams)] += counts[:, k : k + KEEP // 2] @ self._vectors(codes[k : k + KEEP // 2])
+            pair, counts = np.unique(np.repeat(np.arange(len(grams)), [len(g) for g in grams]) * len(codes) + where, return_counts=True)
+            text, code = pair // max(1, len(codes)), pair % max(1, len(codes))
+            common_code = np.bincount(code, minlength=len(codes)) >= SHARED
+            shared = np.flatnonzero(common_code)
+            column = np.cumsum(common_code) - 1
+            many = common_code[code]
+            row, col, value = text[many], column[code[many]], counts[many].astype(np.float32)
+            for k in range(0, len(shared), STRIP):
+                strip = shared[k : k + STRIP]
+                inside = (col >= k) & (col < k + STRIP)
+                dense = np.zeros((len(grams), len(strip)), np.float32)
+                dense[row[inside], col[inside] - k] = value[inside]
+                out[at : at + len(grams)] += dense @ self.table[self.slots_of(codes[strip])]
+            row, col, value = text[~many], code[~many], counts[~many].astype(np.float32)
+            cut = np.searchsorted(row, np.arange(len(grams) + 1)).tolist()
+            for t in range(len(grams)):
+                for k in range(cut[t], cut[t + 1], STRIP):
+                    upto = min(k + STRIP, cut[t + 1])
+                    out[at + t] += value[k:upto] @ self.table[self.slots_of(codes[col[k:upto]])]
         length = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(length > 0, length, 1)
 

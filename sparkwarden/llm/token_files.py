@@ -5,20 +5,25 @@ that any file system Spark knows will do:
 
 * ``dictionary``: dict_sha256, bytes. One row: a zstandard dictionary, trained on the
   serialized ids (little-endian unsigned 16-bit, or 32-bit for larger
-  vocabularies) of a bounded sample of documents (SAMPLE_DOCS, by hash of
-  doc_id); empty if the sample is too small to train on.
+  vocabularies) of a bounded sample of documents: SAMPLE_DOCS of them in expectation, picked by
+  a seeded random number whatever their ids, and of these whole ones up to SAMPLE_BYTES of ids; empty if the sample is too small to train on.
 * ``blocks``: part, block, start, dict_sha256, doc_ids, n_tokens, offsets, data. A
   block holds about BLOCK_BYTES of frames in ascending doc_id order; frame i
   is data[offsets[i]:offsets[i+1]], so one short document is read by
   inflating its own frame alone. The dictionary's hash guards against another.
 * ``bases``: part, base. Ids before each part.
 
-Words between white space are encoded by the tokenizers library, which splits
-there itself, once for each worker that meets them.
+Parts are ranges of (doc_id, tokens, hash of the frame), cut by Spark's range partitioner, so that rows with equal or
+null ids are dealt over several tasks too.
+
+Where the vocabulary file's normalizer and splitter are those that this module knows (SPLITS_AT_SPACE),
+words between white space are encoded by the tokenizers library, which splits
+there itself, once for each worker that meets them. Whole texts go to the library under any other file.
 
 Defined results: null and empty texts have the end id alone. Special tokens'
 strings in a text are ordinary text. Null ids come first, and rows with equal
-ids follow each other in the order of their token counts and frames. Other
+ids follow each other in the order of their token counts, then of their frames' hashes. In
+``read_token_files`` an id in ``doc_ids`` that several rows have brings them all. Other
 columns are not read.
 """
 
@@ -26,6 +31,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import json
 import os
 import re
 import uuid
@@ -37,6 +43,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,11 +58,25 @@ PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?#$
 #: Words whose ids a worker keeps; beyond it, it forgets those not met since it last forgot.
 KEEP_WORDS = 350_000
 SAMPLE_DOCS = 1000
+SAMPLE_BYTES = 16 << 20
 DICT_BYTES = 64 << 10
 BLOCK_BYTES = 1 << 20
 LEVEL = 1
 
 
+#: The normalizer and the splitter of a vocabulary file under which a text's ids are those of its words between white space.
+SPLITS_AT_SPACE = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
+
+
 def byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else the next from U+0100."""
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -75,8 +96,12 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.t = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            said = f.read()
+        self.t = Tokenizer.from_str(said)
         self.t.encode_special_tokens = True
+        parts = json.loads(said)
+        self.by_word = (parts["normalizer"], parts["pre_tokenizer"]) == SPLITS_AT_SPACE and not any(x["normalized"] or not x["special"] for x in parts["added_tokens"])
         self.model = self.t.model
         self.letters = byte_letters()
         self.type = np.dtype("<u2" if self.t.get_vocab_size() <= 1 << 16 else "<u4")
@@ -105,6 +130,8 @@ class WordIds:
         return array(self.code, self.t.encode(w, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str], end: bytes) -> list[bytes]:
+        if not self.by_word:
+            return [array(self.code, self.t.encode(t, add_special_tokens=False).ids).tobytes() + end for t in texts]
         if len(self.known) > KEEP_WORDS:
             self.known, self.older = Known(self.make), self.known
         if len(self.pieces) > KEEP_WORDS:
@@ -161,19 +188,21 @@ def _train(docs: DataFrame, vocabulary: str) -> bytes:
     """The dictionary, made by one task from the bounded sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        samples = []
+        samples, held = [], 0
         for batch in common.slices(batches, 1, keep=("token-files", vocabulary)):
             coder = word_ids(vocabulary)
-            samples += [s[: 64 << 10] for s in coder.encode([t or "" for t in batch.column(1).to_pylist()], b"")]
+            for ids in coder.encode([t or "" for t in batch.column(1).to_pylist()], b""):
+                if held + len(ids) <= SAMPLE_BYTES:
+                    held += len(ids)
+                    samples.append(ids)
         try:
             made = zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
         except zstandard.ZstdError:  # too few or too short samples
             made = b""
         yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], names=["bytes"])
 
-    n = docs.count()
-    share = min(1 << 30, (1 << 30) * SAMPLE_DOCS // max(1, n))
-    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share).repartition(1)
+    share = SAMPLE_DOCS / max(1, docs.count())
+    sample = (docs.filter(F.rand(17) < share) if share < 1 else docs).repartition(1)
     rows = sample.mapInArrow(run, "bytes binary").collect()  # one row of DICT_BYTES at most
     return bytes(rows[0]["bytes"]) if rows else b""
 
@@ -185,27 +214,19 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int,
     sha = hashlib.sha256(trained).hexdigest()
     spark.createDataFrame([(sha, bytearray(trained))], "dict_sha256 string, bytes binary").coalesce(1).write.parquet(f"{path}/dictionary")
     n = common.n_partitions(spark)
-    bounds = common.range_bounds(docs.select("doc_id"), "doc_id", n)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press, cuts = _compressor(trained), np.array(bounds, np.int64)
+        press = _compressor(trained)
         for batch in common.slices(batches, 1, SLICE_BYTES, ("token-files", vocabulary)):
             coder = word_ids(vocabulary)
             end = np.array([end_id], coder.type).tobytes()
             raw = coder.encode([t or "" for t in batch.column(1).to_pylist()], end)
-            keys = np.array([-(1 << 63) if x is None else x for x in batch.column(0).to_pylist()], np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.searchsorted(cuts, keys, side="left").astype(np.int32)),
-                    batch.column(0),
-                    pa.array([len(x) // coder.type.itemsize for x in raw], pa.int64()),
-                    pa.array([press.compress(x) for x in raw], pa.binary()),
-                ],
-                names=["part", "doc_id", "n_tokens", "frame"],
-            )
+            counts = pa.array([len(x) // coder.type.itemsize for x in raw], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), counts, pa.array([press.compress(x) for x in raw], pa.binary())], names=["doc_id", "n_tokens", "frame"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, block, start, rows, held = -1, 0, 0, [], 0
+        part = TaskContext.get().partitionId()
+        block, start, rows, held = 0, 0, [], 0
 
         def made() -> pa.RecordBatch:
             ids, counts, frames = zip(*rows, strict=True)
@@ -213,29 +234,29 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int,
             return pa.RecordBatch.from_pylist([{"part": part, "block": block, "start": start, "dict_sha256": sha, "doc_ids": list(ids), "n_tokens": list(counts), "offsets": at, "data": b"".join(frames)}], schema=BLOCKS)
 
         for batch in batches:
-            for p, i, k, frame in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if rows and (p != part or held >= BLOCK_BYTES):
+            for i, k, frame in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if rows and held >= BLOCK_BYTES:
                     yield made()
                     start, block, rows, held = start + sum(r[1] for r in rows), block + 1, [], 0
-                if p != part:
-                    part, block, start = p, 0, 0
                 rows.append((i, k, frame))
                 held += len(frame)
         if rows:
             yield made()
 
+    frames = common.written(docs.mapInArrow(encode, "doc_id long, n_tokens long, frame binary"), "token-frames")  # the range partitioner reads its input twice
+    order = [F.col("doc_id").asc_nulls_first(), "n_tokens", F.xxhash64("frame")]
     (
-        docs.mapInArrow(encode, "part int, doc_id long, n_tokens long, frame binary")
-        .repartition(n, "part")
-        .sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "n_tokens", "frame")
+        frames.repartitionByRange(n, *order)
+        .sortWithinPartitions(*order)
         .mapInArrow(pack, "part int, block int, start long, dict_sha256 string, doc_ids array<long>, n_tokens array<long>, offsets array<long>, data binary")
         .write.option("compression", "none")
         .parquet(f"{path}/blocks")
     )
     sums = spark.read.parquet(f"{path}/blocks").groupBy("part").agg(F.sum(F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, b: a + b)).alias("n"))
     totals = {r["part"]: r["n"] for r in sums.collect()}  # one row a part
-    before = [0, *accumulate(totals.get(p, 0) for p in range(len(bounds) + 1))]
-    spark.createDataFrame(list(enumerate(before)), "part int, base long").coalesce(1).write.parquet(f"{path}/bases")
+    parts = sorted(totals)
+    before = [0, *accumulate(totals[p] for p in parts)]
+    spark.createDataFrame(list(zip(parts, before, strict=False)), "part int, base long").coalesce(1).write.parquet(f"{path}/bases")
 
 
 BLOCKS = pa.schema(

@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import json
 import random
 import zlib
 
@@ -107,3 +108,27 @@ def test_short_documents_are_read_alone(spark, tmp_path):
     spark.createDataFrame([("0" * 64, bytearray(row.bytes))], "dict_sha256 string, bytes binary").write.mode("overwrite").parquet(f"{path}/dictionary")
     with pytest.raises(Exception, match="written with dictionary"):
         token_files.read_token_files(spark, path).collect()
+
+
+def test_other_vocabulary_files_take_the_whole_way(tmp_path):
+    said = json.loads(open(P.path(WORD_BPE), encoding="utf-8").read())
+    said["normalizer"] = {"type": "NFC"}
+    (tmp_path / "other.json").write_text(json.dumps(said))
+    t = Tokenizer.from_file(str(tmp_path / "other.json"))
+    t.encode_special_tokens = True
+    coder = token_files.WordIds(str(tmp_path / "other.json"))
+    texts = ["Hello World", "", "a  b", *random_texts(50, 4)]
+    assert not coder.by_word and token_files.WordIds(P.path(WORD_BPE)).by_word
+    assert [np.frombuffer(x, coder.type).tolist() for x in coder.encode(texts, b"")] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_null_ids_are_dealt_like_others(spark, monkeypatch):
+    """The dictionary's sample is bounded though all ids are null, and parts share out one id's rows."""
+    docs = documents(spark, [(None, f"word{i} and {i * i}") for i in range(3000)])
+    monkeypatch.setattr(token_files, "SAMPLE_DOCS", 100)
+    path = common.shared_dir(spark) + "/null-ids"
+    token_files.write_token_files(docs, path, P.path(WORD_BPE), END_ID)
+    got = token_files.read_token_files(spark, path).collect()
+    starts = sorted((r.start, r.n_tokens) for r in got)
+    assert len(got) == 3000 and all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:], strict=False))
+    assert spark.read.parquet(f"{path}/bases").count() > 1

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparkwarden.llm import common, sharding, winnow
 
@@ -13,33 +14,55 @@ def ordered(rows):
     return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
 
 
-@pytest.mark.parametrize("rows", [EDGE, [], None, [(i, "same text") for i in range(100)], [(5, "x" * 10_000)] + [(i, "y") for i in range(50)]])
+def in_groups(rows):
+    """Rows in the order that shards follow, by a plain sort; a group's key instead of its hash."""
+    first = {}
+    for i, t in rows:
+        first[t or ""] = min(first.get(t or "", i or -1), -1 if i is None else i)
+    return sorted(rows, key=lambda r: (first[r[1] or ""], r[1] or "", -1 if r[0] is None else r[0]))
+
+
+@pytest.mark.parametrize("rows", [EDGE, [], None, [(i, "same text") for i in range(100)], [(5, "x" * 10_000)] + [(i, "y") for i in range(50)], [(None, f"t{i % 40}") for i in range(2000)], [(i * 7919 % 2000, f"t{i % 900}") for i in range(2000)]])
 def test_shards(spark, rows):
     docs = common.table(spark, SF, "documents") if rows is None else clashing(documents(spark, rows))
     rows = [(r.doc_id, r.text) for r in docs.collect()] if rows is None else rows
     got = sharding.assign_shards(docs).collect()
-    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == Counter((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in rows)
+    size = lambda t: len((t or "").encode()) + 8
+    crc = lambda t: zlib.crc32((t or "").encode())
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == Counter((i, size(t), crc(t)) for i, t in rows)
     assert all(r.law == "bytes" and r.grown_shard is None and 0 <= r.shard < 24 for r in got)
-    in_order = sorted(got, key=lambda r: (r.shard, r.slot))
-    ids = [-1 if r.doc_id is None else r.doc_id for r in in_order]
-    assert ids == sorted(ids)  # contiguous
     per = Counter()
-    for r in in_order:
+    for r in sorted(got, key=lambda r: (r.shard, r.slot)):
         assert r.slot == per[r.shard]
         per[r.shard] += 1
-    total, before = sum(r["size"] for r in got), 0
-    for r in in_order:  # each row's middle byte lies in its shard's target
-        assert r.shard == min(23, (2 * before + r["size"]) * 24 // (2 * total))
-        before += r["size"]
+    total, groups = sum(r["size"] for r in got), Counter(t or "" for _, t in rows)
+    if rows and len({i for i, _ in rows}) == len(rows):  # the law, row by row
+        of, before, begun = {(r.doc_id, r.text_crc32): r.shard for r in got}, 0, {}
+        for i, t in in_groups(rows):
+            begin, all_bytes = begun.setdefault(t or "", before), groups[t or ""] * size(t)
+            middle = 2 * begin + all_bytes if all_bytes * 24 * 20 <= total else 2 * before + size(t)
+            assert of[i, crc(t)] == min(23, middle * 24 // (2 * total))
+            before += size(t)
+    shards = {}
+    for r in got:
+        shards.setdefault((r["size"], r.text_crc32), set()).add(r.shard)
+    assert all(len(shards[size(t), crc(t)]) == 1 for t, n in groups.items() if n * size(t) * 24 * 20 <= total)
+    per = Counter()
+    for r in got:
+        per[r.shard] += r["size"]
+    most = max([size(t) * (n if n * size(t) * 24 * 20 <= total else 1) for t, n in groups.items()], default=0)
+    assert all(abs(per[k] - total / 24) <= most + 1 for k in range(24))
 
 
 def test_written_shards(spark, tmp_path):
-    docs = common.table(spark, SF, "documents")
-    sharding.write_shards(docs, str(tmp_path / "s"), 5)
+    docs = clashing(common.table(spark, SF, "documents"))
+    docs = docs.withColumn("__shard", F.lit("own")).unionByName(docs.limit(3).withColumn("__shard", F.lit("own"))).unionByName(docs.limit(1).withColumns({"text": F.lit("other"), "__shard": F.lit("own")}))
+    folder = sharding.write_shards(docs, str(tmp_path / "s"), 5)
     back = spark.read.parquet(str(tmp_path / "s"))
-    assert back.count() == docs.count() and back.select("__shard").distinct().count() == 5
-    placed = {r.doc_id: r.shard for r in sharding.assign_shards(docs, 5).collect()}
-    assert all(placed[r.doc_id] == r.__getitem__("__shard") for r in back.select("doc_id", "__shard").collect())
+    assert folder == "__shard_" and back.columns == [*docs.columns, folder]
+    assert sorted(str(r[:-1]) for r in map(tuple, back.collect())) == sorted(str(tuple(r)) for r in docs.collect())
+    placed = Counter((r.doc_id, r.text_crc32, r.shard) for r in sharding.assign_shards(docs, 5).collect())
+    assert Counter((r.doc_id, zlib.crc32((r.text or "").encode()), r[folder]) for r in back.collect()) == placed
 
 
 def hashes(print_):

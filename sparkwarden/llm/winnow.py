@@ -1,70 +1,101 @@
 """Document fingerprints by winnowing, in DataFrame functions alone.
 
-Words (runs without white space) are hashed, and each word's hash rolls with
-the next one's to a hash for every GRAM neighbouring words. Of every WINDOW
-neighbouring gram hashes the least is chosen, the rightmost of equals, and
-kept with its position. So two texts that share GRAM + WINDOW - 1 words in a
-row share a chosen gram, and what is chosen depends on those words alone.
-
-A hash and its position make one long: 32 bits of hash above, 32 bits that
-fall as the position rises below, so that a minimum over longs is the least
-hash and among equals the rightmost. Minima of 4 come from minima of 2, each by
-one pass over the array.
-
-Defined results: texts with fewer words than GRAM have one gram, of all their words; texts
-with no word (null, empty, white space) have no gram and an empty fingerprint, alike only to
-another empty one (likeness 1). Repeated ids are ordered by text; a null id
-counts as the smallest. A sole document is its own next. Other columns are
+A window of GRAM code points moves over the text, in UTF-32 so that each step is four bytes,
+and its XXH64 is taken at every position. Of every WINDOW neighbouring gram hashes the
+least is chosen, the rightmost of equals, and kept with its position. So two texts that
+share GRAM + WINDOW - 1 characters in a row share a chosen gram, wherever the characters stand and
+whether or not the language puts spaces between words, and what is chosen depends on those characters alone.
+
+A minimum is taken over longs: the upper half of a gram's hash above, 32 bits that
+fall as the position rises below, so that the least is the least half hash and among equals the rightmost.
+Minima of 16 come from minima of 8, these from minima of 4 and so on, each by one pass. What is kept of a chosen gram is its whole 64-bit
+hash. A text is worked through in spans of SPAN grams, each with the WINDOW - 1 after it, so that
+what is in memory at once is a span and the chosen grams, however long the text.
+
+Defined results: texts with fewer code points than GRAM have one gram, of all of them; an empty or null text has
+none and an empty fingerprint, alike only to another empty one (likeness 1). Rows with equal ids are ordered by a hash of the
+text, then the text; a null id counts as the smallest. A sole document is its own next. Other columns are
 not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-GRAM, WINDOW = 2, 4
+#: Code points of a gram, grams of a window (a power of two), and grams of a span.
+GRAM, WINDOW, SPAN = 8, 16, 1 << 14
+#: Rows of an id from which its rows are dealt over several parts, or a larger share of all rows.
+HOT_ROWS = 10_000
 _NULL_ID = -(1 << 63)
+_LOW = (1 << 32) - 1
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _position(packed: Column) -> Column:
+    return (F.lit(_LOW) - packed.bitwiseAND(F.lit(_LOW))).cast("int")
+
+
+def _gram(utf32: Column, position: Column) -> Column:
+    return F.xxhash64(F.substring(utf32, position * 4 + 1, F.lit(4 * GRAM)))
+
 
+def _minima(grams: Column) -> Column:
+    """For an array of longs, the least of each WINDOW neighbours, or of those that there are."""
 
-def _least(a: Column, b: Column) -> Column:
-    return F.least(a, b)  # of a long and null: the long
+    def pass_by(step: int) -> Callable[[Column], Column]:
+        return lambda x: F.zip_with(x, F.slice(x, step + 1, F.greatest(F.size(x) - step, F.lit(0))), lambda a, b: F.least(a, b))  # of a long and null: the long
 
+    out, step = F.array(grams), 1
+    while step < WINDOW:
+        out, step = F.transform(out, pass_by(step)), 2 * step
+    return F.element_at(out, 1)
 
-def _shift(name: str, by: int) -> Column:
-    return F.slice(name, by + 1, F.greatest(F.size(name), F.lit(0)))
 
+def _chosen(utf32: Column) -> Column:
+    """The chosen grams in order of position, as longs (see above). Minima at a span's end are of fewer grams, and so cut, unless the text ends there."""
+    last = F.greatest((F.octet_length(utf32) / 4).cast("int") - GRAM, F.lit(0))  # of the grams' positions
 
-def chosen(df: DataFrame, text_col: str, out: str) -> DataFrame:
-    """``df`` with ``out``: the chosen grams in order of position, as longs (see above)."""
-    t = f"__{out}"
-    pair = lambda a, b: F.xxhash64(a, b)
-    steps = [
-        F.transform(F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), r"\s+"), lambda w: w != ""), lambda w: F.xxhash64(w)),
-        F.slice(F.zip_with(t, _shift(t, 1), pair), 1, F.greatest(F.size(t) - (GRAM - 1), F.lit(1))),
-        F.transform(t, lambda x, i: x.bitwiseAND(F.lit(-(1 << 32))).bitwiseOR(F.lit((1 << 32) - 1) - i)),
-        F.zip_with(t, _shift(t, 1), _least),
-        F.slice(F.zip_with(t, _shift(t, 2), _least), 1, F.greatest(F.size(t) - (WINDOW - 1), F.lit(1))),
-    ]
-    for step in steps:
-        df = df.withColumn(t, step)
-    return df.withColumn(out, F.array_distinct(t)).drop(t)
+    def span(begin: Column) -> Column:
+        def pack(i: Column) -> Column:
+            return _gram(utf32, i).bitwiseAND(F.lit(-(1 << 32))).bitwiseOR(F.lit(_LOW) - i)
 
+        grams = F.transform(F.sequence(begin, F.least(begin + F.lit(SPAN + WINDOW - 2), last)), pack)
+        return _let(grams, lambda g: F.slice(_minima(g), 1, F.greatest(F.size(g) - (WINDOW - 1), F.lit(1))))
 
-def positions(chosen_col: str) -> Column:
-    """array of struct(hash, position) for a column made by ``chosen``; positions count words from 0."""
-    return F.transform(chosen_col, lambda v: F.struct(F.shiftright(v, 32).cast("int").alias("hash"), (F.lit((1 << 32) - 1) - v.bitwiseAND(F.lit((1 << 32) - 1))).alias("position")))
+    spans = F.transform(F.sequence(F.lit(0), F.greatest(last - (WINDOW - 1), F.lit(0)), F.lit(SPAN)), span)
+    return F.when(F.octet_length(utf32) > 0, F.array_distinct(F.flatten(spans))).otherwise(F.array().cast("array<long>"))
 
 
-def _hashes(chosen_col: str) -> Column:
-    return F.array_distinct(F.transform(chosen_col, lambda v: F.shiftright(v, 32).cast("int")))
+def grams(text: Column) -> Column:
+    """array of struct(hash, position): the chosen grams in order of position; positions count code points from 0."""
 
+    def of(utf32: Column) -> Column:
+        return F.transform(_chosen(utf32), lambda v: F.struct(_gram(utf32, _position(v)).alias("hash"), _position(v).alias("position")))
 
-def _printed(chosen_col: str) -> Column:
-    """8 hex digits for each chosen hash, in order of position."""
-    return F.concat_ws("", F.transform(chosen_col, lambda v: F.lpad(F.lower(F.hex(F.shiftrightunsigned(v, 32))), 8, "0")))
+    return _let(F.encode(F.coalesce(text, F.lit("")), "UTF-32"), of)
+
+
+def hashes(text: Column) -> Column:
+    """The hashes of ``grams`` alone, in the same order."""
+
+    def of(utf32: Column) -> Column:
+        return F.transform(_chosen(utf32), lambda v: _gram(utf32, _position(v)))
+
+    return _let(F.encode(F.coalesce(text, F.lit("")), "UTF-32"), of)
+
+
+def _printed(hashes_col: str) -> Column:
+    """16 hex digits for each chosen hash, in order of position."""
+    return F.lower(F.concat_ws("", F.transform(hashes_col, lambda v: F.lpad(F.hex(v), 16, "0"))))
 
 
 def likeness(a: str, b: str) -> Column:
@@ -76,8 +107,21 @@ def likeness(a: str, b: str) -> Column:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and grams: array of struct(hash, position) of the chosen grams."""
-    rows = common.key_text(docs, id_col, text_col)
-    return chosen(rows, "text", "chosen").select("doc_id", positions("chosen").alias("grams"))
+    return common.key_text(docs, id_col, text_col).select("doc_id", grams(F.col("text")).alias("grams"))
+
+
+def _parts(rows: DataFrame) -> DataFrame:
+    """``rows`` with part: ascending in order of ``at`` and ``text_key``, of like sizes; an id with very many rows has several."""
+    n = common.n_partitions(rows.sparkSession)
+    counts = rows.groupBy("at").count()
+    limit = max(HOT_ROWS, rows.count() // n)
+    heavy = [r["at"] for r in counts.filter(F.col("count") > limit).collect()]  # fewer than n
+    bounds = sorted({*common.range_bounds(rows.select("at"), "at", 4 * n), *heavy, *(max(h - 1, _NULL_ID) for h in heavy)})
+    part = common.bucket_of(F.col("at"), bounds) * n
+    if heavy:
+        place = (F.shiftright("text_key", 48) + (1 << 15)) * n
+        part = part + F.when(F.col("at").isin(heavy), F.shiftright(place, 16)).otherwise(0)
+    return rows.withColumn("part", part.cast("int"))
 
 
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -89,22 +133,21 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     lends its text and hashes.
     """
     spark = docs.sparkSession
-    rows = common.key_text(docs, id_col, text_col).select("doc_id", F.coalesce("doc_id", F.lit(_NULL_ID)).alias("at"), F.coalesce("text", F.lit("")).alias("text"))
-    n = common.n_partitions(spark)
-    bounds = common.range_bounds(rows.select("at"), "at", 2 * n)
-    rows = rows.withColumn("part", common.bucket_of(F.col("at"), bounds))
-    last = {r["part"]: r["at"] for r in rows.groupBy("part").agg(F.max("at").alias("at")).collect()}  # one row a part
+    text = F.coalesce("text", F.lit(""))
+    rows = common.key_text(docs, id_col, text_col).select("doc_id", F.coalesce("doc_id", F.lit(_NULL_ID)).alias("at"), text.alias("text"), common.content_key(text).alias("text_key"))
+    rows = _parts(rows)
+    last = {r["part"]: r["last"] for r in rows.groupBy("part").agg(F.max(F.struct("at", "text_key")).alias("last")).collect()}  # one row a part
     used = sorted(last)
-    lenders = spark.createDataFrame([(last[p], q) for p, q in zip([used[-1], *used[:-1]], used, strict=True)] if used else [], "at long, part int")
-    lent = rows.filter(F.col("at").isin([last[p] for p in used])).drop("part").join(F.broadcast(lenders), "at").groupBy("at", "part").agg(F.max("text").alias("text"))
-    both = rows.withColumn("own", F.lit(True)).unionByName(lent.select(F.lit(None).cast("long").alias("doc_id"), "at", "text", "part", F.lit(False).alias("own")))
-    order = Window.partitionBy("part").orderBy("own", "at", "text")
+    lenders = [(*last[p], q) for p, q in zip([used[-1], *used[:-1]], used, strict=True)] if used else []
+    lenders = spark.createDataFrame(lenders, "at long, text_key long, part int")  # one row a part
+    lent = rows.drop("part", "doc_id").join(F.broadcast(lenders), ["at", "text_key"]).groupBy("at", "text_key", "part").agg(F.max("text").alias("text"))
+    both = rows.withColumn("own", F.lit(True)).unionByName(lent.withColumns({"doc_id": F.lit(None).cast("long"), "own": F.lit(False)}))
+    order = Window.partitionBy("part").orderBy("own", "at", "text_key", "text")
     half = F.floor(F.col("n_chars") / 2).cast("int")
     df = both.withColumn("n_chars", F.length("text").cast("long")).withColumn("next_text", F.lag("text", 1, "").over(order))
     df = df.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring("next_text", F.lit(1), half))).drop("next_text")
-    df = df.withColumn("edited_sha256", F.sha2("edited", 256))
-    df = chosen(chosen(df, "text", "c0"), "edited", "c1").drop("edited")
-    df = df.withColumn("h0", _hashes("c0")).withColumn("h1", _hashes("c1"))
+    df = df.withColumn("c0", hashes(F.col("text"))).withColumn("c1", hashes(F.col("edited"))).withColumn("edited_sha256", F.sha2("edited", 256)).drop("edited")
+    df = df.withColumn("h0", F.array_distinct("c0")).withColumn("h1", F.array_distinct("c1"))
     df = df.withColumn("h2", F.lag("h0", 1).over(order)).filter("own")  # the same parts and order: no further shuffle or sort
     return df.select(
         "doc_id",

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from sparkwarden.llm import common, sharding, winnow
@@ -66,33 +67,52 @@ def test_written_shards(spark, tmp_path):
 
 
 def hashes(print_):
-    return {print_[i : i + 8] for i in range(0, len(print_), 8)}
+    return {print_[i : i + 16] for i in range(0, len(print_), 16)}
 
 
 def jaccard(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
-@pytest.mark.parametrize("rows", [EDGE, [], [(1, "just one document of some words")], None])
-def test_against_next(spark, rows):
+def slow_grams(text):
+    """(hash, position) of the chosen grams, window by window."""
+    k, w = winnow.GRAM, winnow.WINDOW
+    h = [xxhash.xxh64_intdigest(text[i : i + k].encode("utf-32-be"), 42) for i in range(max(1, len(text) - k + 1))] if text else []
+    signed = [x - (1 << 64) if x >> 63 else x for x in h]
+    out = []
+    for i in range(max(1, len(h) - w + 1) if h else 0):
+        at = min(range(i, min(i + w, len(h))), key=lambda p: (signed[p] >> 32, -p))
+        if not out or out[-1] != (signed[at], at):
+            out.append((signed[at], at))
+    return out
+
+
+def slow_print(text):
+    return "".join(f"{h & (1 << 64) - 1:016x}" for h, _ in slow_grams(text))
+
+
+CJK = "".join(chr(0x4E00 + i * i * 7919 % 20_000) for i in range(1000))
+
+
+@pytest.mark.parametrize("rows", [EDGE, [], [(1, "just one document of some words")], None, [(None, f"text {i % 400} of a null id") for i in range(900)] + [(1, CJK)]])
+@pytest.mark.parametrize("hot", [10_000, 100])
+def test_against_next(spark, rows, hot, monkeypatch):
+    """All columns by the slow version, whose order among equal ids is that of the rows that come back."""
+    monkeypatch.setattr(winnow, "HOT_ROWS", hot)
     docs = common.table(spark, SF, "documents") if rows is None else clashing(documents(spark, rows))
-    rows = [(r.doc_id, r.text) for r in docs.collect()] if rows is None else rows
-    got = {}
-    for r in winnow.compare_with_next(docs).collect():
-        got.setdefault((r.doc_id, r.n_chars, r.edited_sha256), []).append(r)
-    assert sum(map(len, got.values())) == len(rows)
-    chain = ordered(rows)[::-1]
-    of_text = {}
+    rows = [(r.doc_id, r.text or "") for r in docs.collect()] if rows is None else [(i, t or "") for i, t in rows]
+    key = lambda t: (lambda x: x - (1 << 64) if x >> 63 else x)(xxhash.xxh64_intdigest(t.encode(), 42))
+    chain = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, key(r[1]), r[1].encode()))[::-1]
+    prints = {t: slow_print(t) for _, t in rows}
+    want = Counter()
     for k, (i, t) in enumerate(chain):
-        t, following = t or "", chain[(k + 1) % len(chain)]
-        half = len(t) // 2
-        edited = t[: len(t) - half] + (following[1] or "")[:half]
-        r = got[i, len(t), hashlib.sha256(edited.encode()).hexdigest()].pop()
-        assert of_text.setdefault(t, r.fingerprint) == r.fingerprint
-        assert r.near_edited == pytest.approx(jaccard(hashes(r.fingerprint), hashes(r.edited_fingerprint)))
-        got.setdefault("near", []).append((r, following[1] or ""))
-    for r, text in got.pop("near", []):
-        assert r.near_next == pytest.approx(jaccard(hashes(r.fingerprint), hashes(of_text[text])))
+        following, half = chain[(k + 1) % len(chain)][1], len(t) // 2
+        edited = t[: len(t) - half] + following[:half]
+        print_ = slow_print(edited)
+        near = jaccard(hashes(prints[t]), hashes(print_)), jaccard(hashes(prints[t]), hashes(prints[following]))
+        want[i, len(t), hashlib.sha256(edited.encode()).hexdigest(), prints[t], print_, *(round(x, 9) for x in near)] += 1
+    got = Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in winnow.compare_with_next(docs).collect())
+    assert got == want
 
 
 def spark_grams(spark, texts):
@@ -100,26 +120,28 @@ def spark_grams(spark, texts):
     return [[(g["hash"], g["position"]) for g in r.grams] for r in sorted(rows, key=lambda r: r.doc_id)]
 
 
-def test_windows_and_rightmost_ties(spark):
-    """Against windows taken one by one, over the hashes of texts cut to single grams."""
-    words = [f"w{i * i % 23}" for i in range(120)]
-    n, w = winnow.GRAM, winnow.WINDOW
-    single = [g[0][0] for g in spark_grams(spark, [" ".join(words[i : i + n]) for i in range(len(words) - n + 1)])]
-    want = set()
-    for i in range(len(single) - w + 1):
-        least = min(single[i : i + w])
-        want.add((least, max(k for k in range(i, i + w) if single[k] == least)))
-    assert set(spark_grams(spark, [" ".join(words)])[0]) == want
+@pytest.mark.parametrize("span", [16, 17, 1 << 14])
+def test_windows_and_rightmost_ties(spark, span, monkeypatch):
+    monkeypatch.setattr(winnow, "SPAN", span)
+    texts = ["ab" * 200, "a" * 100, "abc", "", "x" * 23 + "y" * 23, "🙂é漢 words and more words, and more words " * 9, "w" * 15, CJK]
+    texts += [("".join(chr(97 + i * i % 23) for i in range(n))) for n in (7, 8, 9, 22, 23, 24, 31, 32, 33, 39, 40, 55)]
+    assert spark_grams(spark, texts) == [slow_grams(t) for t in texts]
 
 
 def test_guarantee(spark):
-    """Any GRAM + WINDOW - 1 shared words share a chosen gram, wherever they stand."""
-    shared = [f"s{i}" for i in range(winnow.GRAM + winnow.WINDOW - 1)]
-    texts = [" ".join([f"{k}x{i}" for i in range(7 * k)] + shared + [f"{k}y{i}" for i in range(9 - k)]) for k in range(8)]
+    """Any GRAM + WINDOW - 1 shared characters share a chosen gram, wherever they stand."""
+    shared = "".join(chr(0x3400 + i) for i in range(winnow.GRAM + winnow.WINDOW - 1))
+    texts = ["".join(chr(0x5000 + 300 * k + i) for i in range(7 * k)) + shared + "".join(chr(0x9000 + 40 * k + i) for i in range(30 - k)) for k in range(8)]
     sets = [{h for h, _ in g} for g in spark_grams(spark, texts)]
     assert all(a & b for a in sets for b in sets)
 
 
+def test_texts_without_blanks_are_near_their_edits(spark):
+    rows = [(1, CJK[::-1]), (2, CJK), (3, "base64" * 3 + "Zm9vYmFyYmF6" * 90)]
+    got = {r.doc_id: r for r in winnow.compare_with_next(documents(spark, rows)).collect()}
+    assert got[2].near_edited > 0.25 and got[1].near_edited > 0.25 and got[2].near_next < 0.05
+
+
 def test_native_plan(spark):
     plan = winnow.compare_with_next(common.table(spark, SF, "documents"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

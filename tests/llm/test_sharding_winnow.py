@@ -94,7 +94,10 @@ def slow_print(text):
 CJK = "".join(chr(0x4E00 + i * i * 7919 % 20_000) for i in range(1000))
 
 
-@pytest.mark.parametrize("rows", [EDGE, [], [(1, "just one document of some words")], None, [(None, f"text {i % 400} of a null id") for i in range(900)] + [(1, CJK)]])
+SHORT = [(i, "the quick brown fox jumps over the lazy dog and sleeps"[: i % 56] * (1 + i // 56)) for i in range(180)]
+
+
+@pytest.mark.parametrize("rows", [EDGE, [], [(1, "just one document of some words")], None, SHORT, SHORT[::-3], [(None, f"text {i % 400} of a null id") for i in range(900)] + [(1, CJK)]])
 @pytest.mark.parametrize("hot", [10_000, 100])
 def test_against_next(spark, rows, hot, monkeypatch):
     """All columns by the slow version, whose order among equal ids is that of the rows that come back."""

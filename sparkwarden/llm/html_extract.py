@@ -1,14 +1,15 @@
 """Main text of web pages from parser events and text-to-tag ratios.
 
 The standard library's streaming parser turns a page into lines: each block
-element, and each line break, ends one. A line's ratio is its characters over its
+element, and each line break, ends one. A line's ratio is its characters outside links over its
 tags. The ratios, in page order, are smoothed with a Gaussian kernel, and
 lines above THRESHOLD standard deviations form the content clusters. The
-region is the smallest element that holds most of the clusters' text, or the
-article or main element around it; its lines are the result, short ones too.
+region is the smallest element that holds most of the clusters' text, then its parents as long as most of what
+each adds is of the clusters too; inside an article or main element it is enough that what is added isn't mostly links.
+The region's lines are the result, short ones too. A page without a cluster has no text.
 
-Menus, page headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles,
-told by element, role or class, never count and never return. A class or id tells only as a whole (see ``_marked``), and
+Menus, page headers, footers, sidebars, notices, adverts, forms, reader comments, scripts and styles,
+told by element, role or class, count as lines without a character in the ratios and never return. A class or id tells only as a whole (see ``_marked``), and
 not by itself if its element holds more than half of the page's text.
 
 Defined results: null and empty html give an empty text. Character references
@@ -38,7 +39,9 @@ BLOCKS = frozenset(
     " legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NEVER = frozenset("script style noscript template nav footer aside form button select textarea iframe svg math object canvas dialog menu head title search audio video".split())
+NEVER = frozenset("script style noscript template nav footer aside form button select textarea iframe svg object canvas dialog menu head title search audio video".split())
+#: Elements whose content no reader sees: it makes no line.
+UNSEEN = frozenset("script style noscript template head title svg object canvas audio video iframe select textarea".split())
 #: Elements whose content is text, so that no comment begins in it.
 PLAIN = frozenset("textarea title iframe noembed noframes xmp".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
@@ -99,6 +102,8 @@ class _Lines(HTMLParser):
         self.marks: list[tuple[int, int, bool] | None] = []  # of open MAYBE elements: number, ``seen`` before, whether in an article or main element
         self.marked: list[tuple[int, int, bool]] = []  # number, characters, the same
         self.open: list[tuple[str, int]] = []  # element and its container's number, or -1
+        self.unseen = 0  # how many open elements are UNSEEN
+        self.other = False  # whether boilerplate has text in this line
         self.dropped = 0  # how many open elements are boilerplate
         self.drops: list[int] = []
         self.articles = 0
@@ -111,12 +116,12 @@ class _Lines(HTMLParser):
         self.lines: list[tuple[str, int, int, int]] = []  # text, tags, characters in links, container
 
     def end_line(self) -> None:
-        if self.parts:
-            text = " ".join("".join(self.parts).split())
-            if text:
-                self.lines.append((text, self.tags, self.linked, self.at))
-            self.parts.clear()
+        text = " ".join("".join(self.parts).split()) if self.parts else ""
+        if text or self.other:
+            self.lines.append((text, self.tags, self.linked, self.at))
+        self.parts.clear()
         self.tags = self.linked = 0
+        self.other = False
 
     def pop(self) -> None:
         tag, container = self.open.pop()
@@ -125,6 +130,7 @@ class _Lines(HTMLParser):
         drop = self.drops.pop()
         self.dropped -= drop > KEPT
         self.gone -= drop == GONE
+        self.unseen -= tag in UNSEEN
         mark = self.marks.pop()
         if mark:
             self.marked.append((mark[0], self.seen - mark[1], mark[2]))
@@ -168,6 +174,7 @@ class _Lines(HTMLParser):
         self.marks.append(mark)
         self.dropped += drop > KEPT
         self.gone += drop == GONE
+        self.unseen += tag in UNSEEN
         self.bodies += tag in ("article", "main")
         self.articles += tag == "article"
         self.links += tag == "a"
@@ -204,6 +211,8 @@ class _Lines(HTMLParser):
             self.parts.append(data)
             if self.links:
                 self.linked += len(data)
+        elif not self.unseen and not data.isspace():
+            self.other = True
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -237,29 +246,39 @@ def main_text(html: str | None) -> str:
         return ""
     chars = np.array([len(t) for t, _, _, _ in lines], float)
     tags = np.array([max(1, n) for _, n, _, _ in lines], float)
-    linked = np.array([n for _, _, n, _ in lines], float)
-    ratio = smoothed((chars - np.minimum(chars, linked)) / tags)
-    content = ratio >= min(THRESHOLD * ratio.std(), ratio.max())
-    weight = np.zeros(len(p.parent))
-    np.add.at(weight, [k for _, _, _, k in lines], np.where(content, chars, 0))
-    for k in range(len(weight) - 1, 0, -1):  # a container follows its parent
-        weight[p.parent[k]] += weight[k]
-    region = max((k for k in range(len(weight)) if weight[k] >= SHARE * weight[0]), default=0)
-    article = None
-    k = region
-    while k >= 0:
-        if p.kind[k] == "article" or p.kind[k] == "main" and article is None:
-            article = k
-        k = p.parent[k]
-    if article is None and any(x == "article" for x in p.kind):  # text in several articles: the one with most
-        best = max((k for k in range(len(weight)) if p.kind[k] == "article"), key=weight.__getitem__)
-        article = best if weight[best] > 0 else None
-    region = region if article is None else article
-    inside = np.zeros(len(p.parent), bool)
-    for k in range(len(inside)):
-        inside[k] = k == region or k > region and inside[p.parent[k]]
-    kept = [text for i, (text, _, _, k) in enumerate(lines) if inside[k] and (article is not None or content[i] or linked[i] <= chars[i] / 2)]
-    return "\n".join(kept)
+    linked = np.minimum(chars, [n for _, _, n, _ in lines])
+    ratio = smoothed((chars - linked) / tags)
+    content = (ratio >= min(THRESHOLD * ratio.std(), ratio.max())) & (chars > 0)
+    if not content.any():
+        return ""
+    at = np.array([k for _, _, _, k in lines])
+    # characters in the clusters, in links and in all, of each element with what is in it
+    inside = np.zeros((3, len(p.parent)))
+    for total, value in zip(inside, (np.where(content, chars, 0), linked, chars), strict=True):
+        np.add.at(total, at, value)
+    for k in range(len(p.parent) - 1, 0, -1):  # a container follows its parent
+        inside[:, p.parent[k]] += inside[:, k]
+    weight = inside[0]
+    region = max(k for k in range(len(weight)) if weight[k] >= SHARE * weight[0])
+    bodies = [k for k, kind in enumerate(p.kind) if kind in ("article", "main")]
+    if not any(_within(p.parent, region, k) for k in bodies):  # text in several elements: an article among them that has most of it
+        best = max((k for k in bodies if _within(p.parent, k, region)), key=weight.__getitem__, default=region)
+        region = best if 2 * weight[best] >= weight[region] else region
+    while region:
+        more = inside[:, p.parent[region]] - inside[:, region]
+        in_body = any(_within(p.parent, p.parent[region], k) for k in bodies)
+        if 2 * more[0] <= more[2] and not (in_body and 2 * more[1] <= more[2]):
+            break
+        region = p.parent[region]
+    body = any(_within(p.parent, region, k) for k in bodies)
+    return "\n".join(t for i, (t, _, _, k) in enumerate(lines) if t and _within(p.parent, k, region) and (body or content[i] or 2 * linked[i] <= chars[i]))
+
+
+def _within(parent: list[int], k: int, outer: int) -> bool:
+    """Whether container k is ``outer`` or in it; a container follows its parent."""
+    while k > outer:
+        k = parent[k]
+    return k == outer
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

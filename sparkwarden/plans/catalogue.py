@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,9 +11,11 @@ from pyspark.sql import functions as F
 from ..functions import scalar
 from ..functions.scalar import SLOTS
 from ..operators import decide, evaluate, features, index, knn, parse
+from ..sources import readers
 from ..sources import transactions as tx
+from ..streaming import scoring
 from . import index_store, score
-from .storage import kept
+from .storage import kept, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,6 +60,12 @@ def _index(refs: DataFrame) -> index_store.Index:
     return index_store.build(refs, NLIST, BLOCK, centroids=kept(index.spaced_centroids(index.decoded(refs), NLIST), "centroids"))
 
 
+def _centroids_alone(refs: DataFrame) -> index_store.Index:
+    """What planning a search needs: no lists are built."""
+    centres = kept(index.spaced_centroids(index.decoded(kept(refs, "references")), NLIST), "centroids")
+    return index_store.Index(centres, None, None, None, None)
+
+
 def _doubles(names: list[str]) -> list:
     return [F.col(n).cast("double").alias(n) for n in names]
 
@@ -117,20 +126,22 @@ _NEAREST = f"""
 pairs AS (SELECT q.qid, r.ref_id, r.label, {_gap("q", lambda i: f"r.s{i}")} AS d FROM q CROSS JOIN r),
 nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, ref_id) AS rank FROM pairs) WHERE rank <= 5),
 counted AS (SELECT q.qid, q.borderline, q.label, CAST(coalesce(n.fc, 0) AS INTEGER) AS fraud_count FROM q LEFT JOIN (SELECT qid, sum(label) AS fc FROM nn GROUP BY qid) n USING (qid))"""
-_LISTS = f"""
+_CENTRES = f"""
 ranked AS (SELECT *, row_number() OVER (ORDER BY ref_id) - 1 AS nth_ref, count(*) OVER () AS n FROM r),
-c AS (SELECT CAST(i AS INTEGER) AS list_id, {", ".join(f"s{i} AS c{i}" for i in range(scalar.DIM))} FROM range({NLIST}) t(i) JOIN ranked ON nth_ref = i * n // {NLIST}),
+c AS (SELECT CAST(i AS INTEGER) AS list_id, {", ".join(f"s{i} AS c{i}" for i in range(scalar.DIM))} FROM range({NLIST}) t(i) JOIN ranked ON nth_ref = i * n // {NLIST})"""
+_LISTS = f"""{_CENTRES},
 spread AS (SELECT r.*, c.list_id, {_gap("r", lambda i: f"c.c{i}")} AS d FROM r CROSS JOIN c),
 a AS (SELECT * EXCLUDE (nth), CAST(sqrt(CAST(d AS DOUBLE)) AS FLOAT) AS radius FROM (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY d, list_id) AS nth FROM spread) WHERE nth = 1),
 placed AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY list_id ORDER BY radius, ref_id) - 1) / {BLOCK}.0) AS INTEGER) AS block_id FROM a),
 lists AS (SELECT list_id, count(*) AS n, max(radius) AS radius, CAST(ceil(count(*) / {BLOCK}.0) AS BIGINT) AS blocks FROM a GROUP BY list_id),
 blocks AS (SELECT list_id, block_id, min(radius) AS min_radius, max(radius) AS max_radius, count(*) AS n FROM placed GROUP BY ALL)"""
-_PROBES = f"""
+_PLANNED = f"""
 cd AS (SELECT q.qid, c.list_id, CAST(sqrt(CAST({_gap("q", lambda i: f"c.c{i}")} AS DOUBLE)) AS FLOAT) AS cd FROM q CROSS JOIN c),
 probes AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cd, list_id) AS rank FROM cd) WHERE rank <= {NPROBE}),
+rest AS (SELECT * FROM cd ANTI JOIN probes USING (qid, list_id))"""
+_PROBES = f"""{_PLANNED},
 seen AS (SELECT p.qid, a.ref_id, {_gap("q", lambda i: f"a.s{i}")} AS d FROM probes p JOIN q USING (qid) JOIN a USING (list_id)),
 tau AS (SELECT q.qid, coalesce(t.d, CAST('inf' AS DOUBLE)) AS tau FROM q LEFT JOIN (SELECT qid, CAST(d AS DOUBLE) AS d FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, ref_id) AS rank FROM seen) WHERE rank = 5) t USING (qid)),
-rest AS (SELECT * FROM cd ANTI JOIN probes USING (qid, list_id)),
 candidate AS (SELECT rest.qid, rest.list_id, rest.cd, tau.tau FROM rest JOIN lists USING (list_id) JOIN tau USING (qid) WHERE rest.cd - lists.radius <= sqrt(tau) + 0.00001),
 window_blocks AS (SELECT k.qid, k.list_id, b.block_id, b.n FROM candidate k JOIN blocks b USING (list_id) WHERE b.max_radius >= k.cd - (sqrt(tau) + 0.00001) AND b.min_radius <= k.cd + sqrt(tau) + 0.00001)"""
 
@@ -394,16 +405,16 @@ def blocks_per_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _index(_inputs(spark, sf_dir)[1]).blocks.groupBy("list_id").agg(F.count("*").alias("blocks"))
 
 
-@query(_with("SELECT qid, list_id, rank FROM probes", _FEATURES, _REFS, _LISTS, _PROBES))
+@query(_with("SELECT qid, list_id, rank FROM probes", _FEATURES, _REFS, _CENTRES, _PLANNED))
 def probe_lists_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, refs = _inputs(spark, sf_dir)
-    return knn.probe_lists(queries, _index(refs), NPROBE).select("qid", "list_id", F.col("rank").cast("long").alias("rank"))
+    return knn.probe_lists(queries, _centroids_alone(refs), NPROBE).select("qid", "list_id", F.col("rank").cast("long").alias("rank"))
 
 
-@query(_with("SELECT qid, list_id FROM rest", _FEATURES, _REFS, _LISTS, _PROBES))
+@query(_with("SELECT qid, list_id FROM rest", _FEATURES, _REFS, _CENTRES, _PLANNED))
 def unprobed_lists_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, refs = _inputs(spark, sf_dir)
-    built = _index(refs)
+    built = _centroids_alone(refs)
     return knn.unprobed(queries, built, kept(knn.probe_lists(queries, built, NPROBE), "probes")).select("qid", "list_id")
 
 
@@ -461,6 +472,39 @@ def knn_ivf_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nn(knn.ivf(queries, _index(refs), nprobe=NPROBE, adaptive=True))
 
 
+@query(_with(_NN, _FEATURES, _REFS, _NEAREST))
+def knn_trained_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A trained index, written, opened again and searched: the result doesn't depend on its centroids."""
+    queries, refs = _inputs(spark, sf_dir)
+    built = index_store.build(kept(refs, "references"), NLIST, BLOCK, iterations=4)
+    path = f"{shared_dir(spark)}/written-index-{uuid.uuid4().hex}"
+    index_store.write(built, path)
+    built.close()
+    if not index_store.ready(spark, path):
+        raise ValueError(f"no index at {path}")
+    return _nn(knn.ivf(queries, index_store.open_index(spark, path), nprobe=NPROBE))
+
+
+@query(_with(f"SELECT label, {', '.join(SLOTS)} FROM u", _FEATURES, _REFS))
+def gzip_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All transactions as one gzipped JSON array of labelled vectors, read back and packed."""
+    vector = F.array(*[F.col(f"s{scalar.SPEC_OF_SLOT.index(i)}").cast("double") for i in range(scalar.DIM)])
+    rows = _features(spark, sf_dir).select(F.struct(vector.alias("vector"), F.when(F.col("label") == 1, readers.FRAUD).otherwise("legit").alias("label")).alias("r"))
+    path = f"{shared_dir(spark)}/references-{uuid.uuid4().hex}"
+    rows.agg(F.to_json(F.collect_list("r"))).write.option("compression", "gzip").text(path)  # the source is one array, whatever its size
+    return readers.read_references(spark, path).select("label", *SLOTS)
+
+
+@query(_with("SELECT tx_id, 200 AS status, final_count < 3 AS approved FROM (SELECT qid AS tx_id, final_count FROM decided)", _FEATURES, _REFS, _NEAREST, _DECIDED))
+def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query set's payloads as a stream of files, each request answered."""
+    _, refs = _inputs(spark, sf_dir)
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    tx.payload_json(tx.transactions(spark, sf_dir).filter(tx.is_query())).select("payload").repartition(3).write.text(f"{root}/in")
+    scoring.score_stream(readers.read_payload_stream(spark, f"{root}/in"), f"{root}/out", f"{root}/checkpoint", kept(refs, "references")).awaitTermination()
+    return spark.read.parquet(f"{root}/out").select(F.substring("tx", 4, 20).cast("long").alias("tx_id"), "status", "approved")
+
+
 SAMPLE_ROWS = 500
 
 
@@ -469,11 +513,25 @@ def reservoir_sample_exact_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.sample_exact(_inputs(spark, sf_dir)[1], SAMPLE_ROWS).select("ref_id")
 
 
-@query()
+_SLOT_AVERAGES = ", ".join(f"CAST(avg(CAST(s{i} AS DOUBLE)) AS FLOAT) AS c{i}" for i in range(scalar.DIM))
+
+
+def _trained(iterations: int) -> str:
+    """Lloyd's iterations, one after the other; a list that nothing is nearest to would be missing from the result."""
+    steps = []
+    for n in range(iterations):
+        old = "c" if n == 0 else f"k{n}"
+        near = f"SELECT r.*, t.list_id, row_number() OVER (PARTITION BY r.ref_id ORDER BY {_gap('r', lambda i: f't.c{i}')}, t.list_id) AS nth FROM r CROSS JOIN {old} t"
+        steps.append(f"k{n + 1} AS MATERIALIZED (SELECT list_id, {_SLOT_AVERAGES} FROM ({near}) WHERE nth = 1 GROUP BY list_id)")
+    return ",\n".join(steps)
+
+
+@query(_with("SELECT list_id, " + ", ".join(f"round(CAST(c{i} AS DOUBLE), 3) AS c{i}" for i in range(scalar.DIM)) + f" FROM k{index.ITERATIONS}", _FEATURES, _REFS, _CENTRES, _trained(index.ITERATIONS)))
 def kmeans_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trained centroids; sums of floats in any order aren't for SQL to repeat."""
+    """Trained centroids, to three places, as sums of floats depend on their order."""
     points = kept(index.decoded(_inputs(spark, sf_dir)[1]), "points")
-    return index.kmeans(points, NLIST)
+    trained = index.kmeans(points, NLIST)
+    return trained.select("list_id", *[F.round(F.col(f"c{i}").cast("double"), 3).alias(f"c{i}") for i in range(scalar.DIM)])
 
 
 # Evaluation -----------------------------------------------------------------
@@ -517,6 +575,24 @@ def detection_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"failure_rate": F.round("failure_rate", 6), "epsilon": F.round("epsilon", 6), "detection_score": F.round("detection_score", 4)})
 
 
+@query(
+    _with(
+        "SELECT tp, fp, fn, round(p99, 6) AS p99, round(s, 4) AS p99_score, round(g, 4) AS detection_score, round(s + g, 2) AS final_score FROM (SELECT *, CASE WHEN failure_rate > 0.15 THEN -3000 ELSE 1000 * log10(1 / greatest(epsilon, 0.001)) - 300 * log10(1 + weighted_errors) END AS g,"
+        " CASE WHEN p99 <= 0 THEN 0 WHEN p99 > 2000 THEN -3000 ELSE 1000 * log10(1000 / greatest(p99, 1)) END AS s FROM rated, (SELECT quantile_cont(value, 0.99) AS p99 FROM events))",
+        _FEATURES,
+        _REFS,
+        _NEAREST,
+        _DECIDED,
+        _CONFUSION,
+        _DETECTION,
+    )
+)
+def final_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both scores and their sum; events' values stand for latencies."""
+    out = evaluate.summary(evaluate.confusion(_outcomes(spark, sf_dir)), spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("value").alias("latency_ms")))
+    return out.select("tp", "fp", "fn", F.round("p99", 6).alias("p99"), F.round("p99_score", 4).alias("p99_score"), F.round("detection_score", 4).alias("detection_score"), "final_score")
+
+
 @query("SELECT round(p99, 6) AS p99, round(CASE WHEN p99 <= 0 THEN 0 WHEN p99 > 2000 THEN -3000 ELSE 1000 * log10(1000 / greatest(p99, 1)) END, 4) AS p99_score FROM (SELECT quantile_cont(value, 0.99) AS p99 FROM events)")
 def latency_p99_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = spark.read.parquet(f"{sf_dir}/events.parquet")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..operators import index as ops
+from .storage import delete, settled, shared_dir
 
 
 @dataclass
@@ -19,24 +21,35 @@ class Index:
     vectors: DataFrame  # ref_id, label, s0..s13 (quantized), list_id, block_id, place, radius
     meta: DataFrame
 
+    path: str | None = None  # of an index that ``build`` has made; an opened one belongs to whoever wrote it
+
     def close(self) -> None:
-        for df in (self.centroids, self.lists, self.blocks, self.vectors):
-            df.unpersist()
+        """Deletes the tables of an index that ``build`` has made."""
+        if self.path:
+            delete(self.meta.sparkSession, self.path)
 
 
 def build(refs: DataFrame, nlist: int = ops.NLIST, block: int = ops.BLOCK, sample: int = ops.SAMPLE, iterations: int = ops.ITERATIONS, centroids: DataFrame | None = None) -> Index:
-    """The index of ``refs``; ``centroids``, if given, are taken as they are."""
+    """The index of ``refs``, in a folder of its own under the shared one until it is closed; ``centroids``, if given, are taken as they are."""
     if nlist > ops.MAX_NLIST:
         raise ValueError(f"at most {ops.MAX_NLIST} lists")
-    points = ops.decoded(refs)
-    if centroids is None:
-        centroids = ops.kmeans(ops.kept(ops.sample_exact(points, sample), "sample"), nlist, iterations)
-    assigned = ops.assign(points, centroids).select("ref_id", "list_id", "radius")
-    # the same rows in the same order of ids: only ids and places pass through the shuffle of the layout
-    laid_out = ops.kept(ops.layout(assigned, block), "layout")
-    vectors = ops.kept(_dealt(refs.join(laid_out, "ref_id")), "vectors")
-    stats = ops.list_stats(laid_out, block)
-    return Index(centroids, stats, ops.block_stats(laid_out), vectors, ops.meta(refs.sparkSession, nlist, block, refs.count()))
+    spark = refs.sparkSession
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+
+    def laid_out() -> DataFrame:
+        points = ops.decoded(refs)
+        made = centroids if centroids is not None else ops.kmeans(ops.kept(ops.sample_exact(points, sample), "sample"), nlist, iterations)
+        made.coalesce(1).write.parquet(f"{path}/centroids")
+        assigned = ops.assign(points, spark.read.parquet(f"{path}/centroids")).select("ref_id", "list_id", "radius")
+        # the same rows in the same order of ids: only ids and places pass through the shuffle of the layout
+        return ops.layout(assigned, block)
+
+    places = settled(spark, laid_out, "layout")  # what training has kept goes with it
+    _dealt(refs.join(places, "ref_id")).write.parquet(f"{path}/vectors")
+    ops.list_stats(places, block).coalesce(1).write.parquet(f"{path}/lists")
+    ops.block_stats(places).coalesce(1).write.parquet(f"{path}/blocks")
+    ops.meta(spark, nlist, block, refs.count()).coalesce(1).write.parquet(f"{path}/meta")
+    return replace(open_index(spark, path), path=path)
 
 
 def _dealt(vectors: DataFrame, partitions: int | None = None) -> DataFrame:

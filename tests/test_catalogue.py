@@ -31,10 +31,6 @@ def test_query_equals_sql(spark, con, name):
     assert sorted(map(text, got.collect())) == sorted(map(text, rows))
 
 
-def test_trained_centroids(spark):
-    assert catalogue.kmeans_train(spark, SF).count() == catalogue.NLIST
-
-
 def test_training_has_all_iterations(spark, monkeypatch):
     steps, step = [], catalogue.index.lloyd_step
     monkeypatch.setattr(catalogue.index, "lloyd_step", lambda *a: steps.append(1) or step(*a))

@@ -133,3 +133,15 @@ def test_exact_refuses_many_queries(spark, refs, queries, monkeypatch):
     monkeypatch.setattr(knn, "EXACT_QUERIES", 10)
     with pytest.raises(ValueError):
         knn.exact(queries, refs)
+
+
+def test_phase_timings(queries, built):
+    got = {r.phase: r.seconds for r in knn.phase_timings(queries, built, nprobe=2).collect()}
+    assert got.keys() == {"plan", "probe", "build", "scan", "total"} and all(x > 0 for x in got.values()) and got["total"] >= got["probe"] + got["scan"]
+
+
+def test_closing_frees_an_index(spark, refs):
+    made = index_store.build(refs, nlist=4, block=16, sample=100, iterations=1)
+    assert index_store.ready(spark, made.path)
+    made.close()
+    assert not index_store.ready(spark, made.path)

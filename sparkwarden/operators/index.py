@@ -100,17 +100,22 @@ def lloyd_step(points: DataFrame, centroids: DataFrame) -> DataFrame:
 
 
 def kmeans(points: DataFrame, k: int = NLIST, iterations: int = ITERATIONS, seed: int = 1) -> DataFrame:
-    """Centroids after Lloyd's iterations; a list that runs empty restarts at a point picked by hash."""
-    centroids = kept(spaced_centroids(points, k), "centroids")
+    """Centroids after Lloyd's iterations; a list that runs empty restarts at a point picked by hash.
+
+    The driver holds the centroids, at most MAX_NLIST rows, from one iteration to the next.
+    """
+    if k > MAX_NLIST:
+        raise ValueError(f"at most {MAX_NLIST} lists")
+    spark, slots = points.sparkSession, [f"c{i}" for i in range(len(SLOTS))]
+    schema = "list_id int, " + ", ".join(f"{c} float" for c in slots)
+    rows = [tuple(r) for r in spaced_centroids(points, k).select("list_id", *slots).collect()]
     for step in range(iterations):
-        new = kept(lloyd_step(points, centroids), "centroids")
-        empty = [r["list_id"] for r in new.filter("n = 0").select("list_id").collect()]
+        new = lloyd_step(points, spark.createDataFrame(rows, schema)).select("list_id", *slots, "n").collect()
+        rows, empty = [tuple(r)[:-1] for r in new if r["n"]], [r for r in new if not r["n"]]
         if empty:
-            spare = points.orderBy(scalar.pseudo_random(F.col("ref_id"), seed + step), "ref_id").limit(len(empty)).select(*[F.col(s).alias(f"c{i}") for i, s in enumerate(SLOTS)]).collect()
-            seeds = points.sparkSession.createDataFrame([(i, *row) for i, row in zip(empty, spare, strict=False)], new.drop("n").schema)
-            new = kept(new.filter("n > 0").drop("n").unionByName(seeds), "centroids")
-        centroids = new.drop("n")
-    return centroids
+            spare = points.orderBy(scalar.pseudo_random(F.col("ref_id"), seed + step), "ref_id").limit(len(empty)).select(*SLOTS).collect()
+            rows += [(r["list_id"], *x) for r, x in zip(empty, spare, strict=True)]
+    return spark.createDataFrame(rows, schema)
 
 
 def layout(assigned: DataFrame, block: int = BLOCK) -> DataFrame:

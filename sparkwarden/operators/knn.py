@@ -3,12 +3,12 @@
 * ``exact``: every query against every reference as a declared join; the
   oracle of the others, for small inputs.
 * ``kernel``: references stream through numpy once for each block of queries.
-* ``ivf``: two joins on list ids; bounds on distances prune lists and blocks
-  that can't hold a neighbour.
+* ``ivf``: queries meet the lists that they probe, group by group; then the
+  lists and blocks that bounds on distances don't rule out.
 
 Distances are squared, in single precision, added in slot order. Equal
 distances are ordered by ref_id. Queries keep full precision, references are
-quantized.
+quantized. A query with a missing slot has no neighbours.
 """
 
 from __future__ import annotations
@@ -25,15 +25,21 @@ from ..functions import scalar
 from ..functions.scalar import SLOTS
 from ..plans.index_store import Index
 from ..plans.storage import kept
-from .index import NPROBE
+from .index import MAX_NLIST, NPROBE
 
 K = 5
-#: Queries that one pass over the references carries: 14 floats and an id each.
-QUERY_BLOCK = 4096
+#: Queries that one pass over the references carries: 14 floats and an id each, 4 MB in all.
+QUERY_BLOCK = 65_536
 #: Queries that ``exact`` may send to every task.
 EXACT_QUERIES = 65_536
+#: Of a list, blocks and (about, as they are dealt by hash) queries that meet in one group.
+GROUP_BLOCKS, GROUP_QUERIES = 64, 16_384
+#: Queries and references whose distances are taken together.
+TILE = 512, 4096
 #: Slack for bounds whose radii and distances were rounded to single precision.
 SLACK = 1e-5
+#: Rounding of a matrix product against the distance added slot by slot, as a share of both squared norms: 16 terms of 2^-24 each, with room.
+ROUNDING = np.float32(2e-5)
 # Fixed values.
 #: Probes that are always made, and the share of a centre's squared distance under which tau spares a further one.
 SURE_PROBES, SPARE_SHARE = 3, 0.75
@@ -61,70 +67,102 @@ def exact(queries: DataFrame, refs: DataFrame, k: int = K) -> DataFrame:
     return top(pairs.select("qid", "ref_id", "label", _distance().alias("d")), k).select("qid", "rank", "ref_id", "label", "d")
 
 
-def _decode(batch: pa.RecordBatch) -> list[np.ndarray]:
+def _columns(batch: pa.RecordBatch | pa.Table, names: list[str]) -> np.ndarray:
+    """The named columns as a matrix of single precision, a row a row; missing values are NaN."""
+    columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
+    return np.stack([(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c).to_numpy(zero_copy_only=False).astype(np.float32) for c in columns], 1)
+
+
+def _decode(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
+    q = _columns(batch, SLOTS)
     step = np.float32(1) / np.float32(scalar.QUANT_SCALE)
-    out = []
-    for s in SLOTS:
-        q = batch.column(batch.schema.get_field_index(s)).to_numpy()
-        out.append(np.where(q == scalar.QUANT_MISSING, np.float32(scalar.MISSING), q.astype(np.float32) * step))
-    return out
-
-
-def _nearest(matrix: np.ndarray, slots: list[np.ndarray], ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, place, distance) of the k first references of each query."""
-    d = np.zeros((len(matrix), len(ids)), np.float32)
-    for i, r in enumerate(slots):
-        gap = matrix[:, i, None] - r[None, :]
-        gap *= gap
-        d += gap
-    if len(ids) > k:
-        worst = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
-        q, at = np.nonzero(d <= worst)  # ties at the last place too
-    else:
-        q, at = (x.ravel() for x in np.indices(d.shape))
-    far = d[q, at]
-    order = np.lexsort([ids[at], far, q])
-    q, at, far = q[order], at[order], far[order]
-    nth = np.arange(len(q)) - np.searchsorted(q, q)
-    keep = nth < k
-    return q[keep], at[keep], far[keep]
+    return np.where(q == scalar.QUANT_MISSING, np.float32(scalar.MISSING), q * step)
+
+
+class _Best:
+    """The k nearest references so far of some queries, none farther than ``limit``.
+
+    A matrix product bounds distances from below and above; only pairs that
+    can be among the first k get their distance slot by slot.
+    """
+
+    def __init__(self, matrix: np.ndarray, k: int, limit: np.ndarray | None = None):
+        n = len(matrix)
+        self.matrix, self.k = matrix, k
+        self.norm = (matrix * matrix).sum(1)
+        self.left = np.concatenate([matrix * np.float32(-2), self.norm[:, None], np.ones((n, 1), np.float32)], 1)
+        self.limit = np.full(n, np.inf, np.float32) if limit is None else limit
+        self.d = np.full((n, k), np.inf, np.float32)
+        self.ref, self.label = np.zeros((n, k), np.int64), np.zeros((n, k), np.int32)
+
+    def add(self, slots: np.ndarray, ref: np.ndarray, label: np.ndarray, rows: np.ndarray | None = None) -> None:
+        """References for all queries, or for those at ``rows``."""
+        rows = np.arange(len(self.matrix)) if rows is None else rows
+        for at in range(0, len(ref), TILE[1]):
+            part = slice(at, at + TILE[1])
+            norm = (slots[part] * slots[part]).sum(1)
+            right = np.concatenate([slots[part], np.ones((len(norm), 1), np.float32), norm[:, None]], 1).T
+            for q0 in range(0, len(rows), TILE[0]):
+                self._tile(rows[q0 : q0 + TILE[0]], right, norm.max(), slots[part], ref[part], label[part])
+
+    def _tile(self, rows: np.ndarray, right: np.ndarray, norm: np.float32, slots: np.ndarray, ref: np.ndarray, label: np.ndarray) -> None:
+        k = self.k
+        near = self.left[rows] @ right
+        slack = ROUNDING * (self.norm[rows] + norm)
+        worst = np.minimum(self.d[rows, -1], self.limit[rows])
+        if len(ref) >= k and np.isinf(worst).any():
+            some = near[:, : max(256, k)]
+            worst = np.minimum(worst, np.partition(some, k - 1, axis=1)[:, k - 1] + slack)
+        q, at = np.nonzero(near <= (worst + slack)[:, None])
+        if not len(q):
+            return
+        d = np.zeros(len(q), np.float32)
+        for i in range(slots.shape[1]):
+            gap = self.matrix[rows[q], i] - slots[at, i]
+            d += gap * gap
+        sure = d <= np.minimum(self.d[rows[q], -1], self.limit[rows[q]])
+        q, at, d = q[sure], at[sure], d[sure]
+        asked, q = np.unique(q, return_inverse=True)
+        own = rows[asked]  # what each has so far stands before what is new; k of them stay
+        q = np.concatenate([np.repeat(np.arange(len(own)), k), q])
+        d, ids, labels = (np.concatenate([old[own].ravel(), new]) for old, new in ((self.d, d), (self.ref, ref[at]), (self.label, label[at])))
+        order = np.lexsort([ids, d, q])
+        first = np.searchsorted(q[order], np.arange(len(own)))
+        keep = order[np.arange(len(order)) - first[q[order]] < k].reshape(len(own), k)
+        self.d[own], self.ref[own], self.label[own] = d[keep], ids[keep], labels[keep]
+
+    def found(self, qid: np.ndarray) -> list[pa.Array]:
+        """FOUND_SQL's columns."""
+        q, at = np.nonzero(np.isfinite(self.d))
+        return [pa.array(qid[q]), pa.array(self.ref[q, at]), pa.array(self.label[q, at]), pa.array(self.d[q, at])]
+
+
+FOUND_SQL = "qid long, ref_id long, label int, d float"
+FOUND = ["qid", "ref_id", "label", "d"]
 
 
 def kernel(queries: DataFrame, refs: DataFrame, k: int = K, block: int = QUERY_BLOCK) -> DataFrame:
-    """qid, rank, ref_id, label, d, by one numpy pass over the references for each block of queries."""
+    """qid, rank, ref_id, label, d, by one numpy pass over the references for each block of queries; a task returns k rows a query."""
     spark = queries.sparkSession
 
     def search(held: list) -> DataFrame:
-        qid, matrix = np.array([r["qid"] for r in held], np.int64), _matrix(held)
+        qid = np.array([r[0] for r in held], np.int64)
+        matrix = np.array([r[1:] for r in held], np.float32).reshape(len(held), len(SLOTS))
         sent = spark.sparkContext.broadcast((qid, matrix))  # at most ``block`` rows
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             qid, matrix = sent.value
-            for whole in batches:
-                for at in range(0, whole.num_rows, 4096):
-                    batch = whole.slice(at, 4096)
-                    ref, label, slots = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _decode(batch)
-                    for q0 in range(0, len(qid), 512):
-                        q, place, d = _nearest(matrix[q0 : q0 + 512], slots, ref, k)
-                        yield _found(qid[q0 + q], ref[place], label[place], d)
+            best = _Best(matrix, k)
+            for batch in batches:
+                best.add(_decode(batch), batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays(best.found(qid), names=FOUND)
 
-        return refs.select("ref_id", "label", *SLOTS).mapInArrow(run, FOUND_SQL)
+        return refs.select("ref_id", F.col("label").cast("int").alias("label"), *SLOTS).mapInArrow(run, FOUND_SQL)
 
     rows = queries.select(F.col("qid").cast("long").alias("qid"), *SLOTS)
     return top(_in_blocks(rows, search, block), k).select("qid", "rank", "ref_id", "label", "d")
 
 
-FOUND_SQL = "qid long, ref_id long, label int, d float"
-
-
-def _found(qid: np.ndarray, ref: np.ndarray, label: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(qid), pa.array(ref), pa.array(label.astype(np.int32)), pa.array(d)], names=["qid", "ref_id", "label", "d"])
-
-
-def _matrix(held: list) -> np.ndarray:
-    return np.array([[r[s] for s in SLOTS] for r in held], np.float32).reshape(len(held), len(SLOTS))
-
-
 def _in_blocks(rows: DataFrame, search: Callable[[list], DataFrame], block: int) -> DataFrame:
     """The union of ``search`` over blocks of the rows; the driver holds one block at a time."""
     held, out = [], None
@@ -135,76 +173,146 @@ def _in_blocks(rows: DataFrame, search: Callable[[list], DataFrame], block: int)
     return out if out is not None and not held else search(held) if out is None else out.union(search(held))
 
 
-def _probe_scan(queries: DataFrame, probes: DataFrame, index: Index, k: int, block: int = QUERY_BLOCK) -> DataFrame:
-    """The k nearest of each query among the vectors of its probed lists.
+def _list_scan(queries: DataFrame, wanted: DataFrame, index: Index, k: int = K) -> DataFrame:
+    """FOUND_SQL's columns: of each query, the nearest in its ``wanted`` lists (qid, list_id, cd, tau), k a group of vectors.
 
-    Vectors stream by, as in ``kernel``; each is only held against the queries
-    that probe its list. A pass carries ``block`` queries and their probes.
+    Vectors and queries meet by list, in groups of GROUP_BLOCKS blocks and
+    about GROUP_QUERIES queries, so a list of any size is cut, and so are the
+    queries that a list gets. Lists without a query aren't shuffled. Only blocks
+    whose radii meet [cd - sqrt(tau), cd + sqrt(tau)] are looked at.
     """
-    spark = queries.sparkSession
-    lists = probes.groupBy("qid").agg(F.collect_list("list_id").alias("lists"))  # nprobe each
+    chunk = F.floor(F.col("block_id") / GROUP_BLOCKS).cast("int").alias("chunk")
+    spans = index.blocks.groupBy("list_id", chunk).agg(F.min("min_radius").alias("inner"), F.max("max_radius").alias("outer"))
+    parts = F.broadcast(wanted.groupBy("list_id").agg(F.ceil(F.count("*") / GROUP_QUERIES).cast("int").alias("parts")))  # at most MAX_NLIST rows
+    reach = F.sqrt("tau") + SLACK
+    asked = wanted.select("qid", "list_id", F.col("cd").cast("double").alias("cd"), "tau").join(parts, "list_id").join(spans, "list_id")
+    asked = asked.filter((F.col("outer") >= F.col("cd") - reach) & (F.col("inner") <= F.col("cd") + reach))
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("qid"), "parts").cast("int")).drop("parts", "inner", "outer")
+    asked = asked.join(queries.select(F.col("qid").cast("long").alias("qid"), *SLOTS), "qid")
+    vectors = index.vectors.select("ref_id", F.col("label").cast("int").alias("label"), "list_id", "block_id", "radius", chunk, *SLOTS)
+    vectors = vectors.join(parts, "list_id").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+
+    def scan(asked: pa.Table, vectors: pa.Table) -> pa.Table:
+        qid, cd, tau = (asked.column(n).to_numpy() for n in ("qid", "cd", "tau"))
+        best = _Best(_columns(asked, SLOTS), k, tau.astype(np.float32))
+        slots, (ref, label, block, radius) = _decode(vectors), (vectors.column(n).to_numpy() for n in ("ref_id", "label", "block_id", "radius"))
+        order = np.argsort(block, kind="stable")
+        reach = np.sqrt(tau) + SLACK
+        low, high = cd - reach, cd + reach
+        bounds = np.flatnonzero(np.diff(block[order], prepend=-1, append=-1))
+        begun = None  # blocks that all queries want are taken together
+        for b, e in zip(bounds, bounds[1:], strict=False):
+            at = order[b:e]
+            rows = np.flatnonzero((radius[at].max() >= low) & (radius[at].min() <= high))
+            if len(rows) == len(qid):
+                begun = b if begun is None else begun
+            else:
+                if begun is not None:
+                    best.add(slots[order[begun:b]], ref[order[begun:b]], label[order[begun:b]])
+                    begun = None
+                best.add(slots[at], ref[at], label[at], rows)
+        if begun is not None:
+            best.add(slots[order[begun:]], ref[order[begun:]], label[order[begun:]])
+        return pa.table(best.found(qid), names=FOUND)
+
+    keys = ["list_id", "chunk", "part"]
+    return asked.groupBy(*keys).cogroup(vectors.groupBy(*keys)).applyInArrow(scan, FOUND_SQL)
+
+
+def _probe_scan(queries: DataFrame, probes: DataFrame, index: Index, k: int = K) -> DataFrame:
+    """The k nearest of each query among the vectors of its probed lists."""
+    return top(_list_scan(queries, probes.withColumn("tau", F.lit(float("inf"))), index, k), k)
+
+
+def _to_centres(index: Index, rows: DataFrame, schema: str, choose: Callable[..., Iterator[list]]) -> DataFrame:
+    """One pass over ``rows`` (qid, slots, more): ``choose(batch, list ids, distances, rows x lists)`` gives the columns of ``schema``.
+
+    The centroids, at most 65,536 rows, go to every task; no pair of query and
+    list leaves the pass but those that are chosen.
+    """
+    centres = index.centroids.select("list_id", *[f"c{i}" for i in range(len(SLOTS))]).orderBy("list_id").limit(MAX_NLIST + 1).collect()
+    if not centres or len(centres) > MAX_NLIST:
+        raise ValueError(f"between 1 and {MAX_NLIST} centroids, please")
+    sent = rows.sparkSession.sparkContext.broadcast((np.array([r[0] for r in centres], np.int32), np.array([r[1:] for r in centres], np.float32)))
+    names, step = [c.split()[0] for c in schema.split(", ")], max(1, (1 << 22) // len(centres))
 
-    def search(held: list) -> DataFrame:
-        by_list: dict[int, list[int]] = {}
-        for i, r in enumerate(held):
-            for x in r["lists"]:
-                by_list.setdefault(x, []).append(i)
-        sent = spark.sparkContext.broadcast((np.array([r["qid"] for r in held], np.int64), _matrix(held), {x: np.array(v) for x, v in by_list.items()}))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, centres = sent.value
+        for whole in batches:
+            for begin in range(0, whole.num_rows, step):
+                batch = whole.slice(begin, step)
+                slots, d = _columns(batch, SLOTS), np.zeros((batch.num_rows, len(ids)), np.float32)
+                for i in range(len(SLOTS)):
+                    gap = slots[:, i, None] - centres[None, :, i]
+                    gap *= gap
+                    d += gap
+                cd = np.sqrt(d.astype(np.float64)).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in choose(batch, ids, cd)], names=names)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            qid, matrix, by_list = sent.value
-            for batch in batches:
-                ref, label, of, slots = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), _decode(batch)
-                order = np.argsort(of, kind="stable")
-                cuts = np.flatnonzero(np.r_[True, np.diff(of[order]) != 0]) if len(of) else []
-                for begin, end in zip(cuts, [*cuts[1:], len(of)], strict=False):
-                    for at in np.array_split(order[begin:end], -(-(end - begin) // 4096)):
-                        asked = by_list.get(int(of[at[0]]))
-                        for part in [] if asked is None else np.array_split(asked, -(-len(asked) // 512)):
-                            q, place, d = _nearest(matrix[part], [s[at] for s in slots], ref[at], k)
-                            yield _found(qid[part[q]], ref[at[place]], label[at[place]], d)
+    return rows.mapInArrow(run, schema)
 
-        return index.vectors.select("ref_id", "label", "list_id", *SLOTS).mapInArrow(run, FOUND_SQL)
 
-    rows = queries.select(F.col("qid").cast("long").alias("qid"), *SLOTS).join(lists, "qid")
-    return top(_in_blocks(rows, search, block), k)
+def _planned(queries: DataFrame) -> DataFrame:
+    return queries.select(F.col("qid").cast("long").alias("qid"), *SLOTS)
 
 
 def probe_lists(queries: DataFrame, index: Index, nprobe: int = NPROBE) -> DataFrame:
     """qid, list_id, cd, rank: each query's nearest centroids (cd: distance, not squared)."""
-    return top(centre_distances(queries, index), nprobe, ("cd", "list_id"))
 
+    def choose(batch: pa.RecordBatch, ids: np.ndarray, cd: np.ndarray) -> list:
+        n = min(nprobe, len(ids))
+        q, at = np.nonzero(cd <= np.partition(cd, n - 1, axis=1)[:, n - 1 : n])  # ties at the last place too
+        order = np.lexsort([at, cd[q, at], q])
+        q, at = q[order], at[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q) + 1
+        q, at, rank = q[rank <= n], at[rank <= n], rank[rank <= n]
+        return [batch.column(0).to_numpy()[q], ids[at], cd[q, at], rank.astype(np.int32)]
+
+    return _to_centres(index, _planned(queries), "qid long, list_id int, cd float, rank int", choose)
 
-def centre_distances(queries: DataFrame, index: Index) -> DataFrame:
-    """qid, list_id, cd for all lists: the centroids, at most 65,536 rows, go to every task."""
-    centres = [F.col(f"c{i}") for i in range(len(SLOTS))]
-    pairs = _renamed(queries).crossJoin(F.broadcast(index.centroids))
-    return pairs.select("qid", "list_id", F.sqrt(scalar.distance_sq(scalar.slots("q_"), centres)).cast("float").alias("cd"))
 
+def _with_probed(queries: DataFrame, probes: DataFrame) -> DataFrame:
+    """The queries with the ids of the lists that each has probed, nprobe at most."""
+    probed = probes.groupBy("qid").agg(F.collect_list("list_id").alias("probed"))
+    return _planned(queries).join(probed, "qid", "left")
 
-def _block_scan(wanted: DataFrame, queries: DataFrame, index: Index) -> DataFrame:
-    """Of the vectors in the wanted blocks (qid, list_id, block_id, tau), those no farther than tau."""
-    vectors = index.vectors.select("ref_id", "label", "list_id", "block_id", *scalar.unpack())
-    found = wanted.select("qid", "list_id", "block_id", "tau").join(_renamed(queries), "qid").join(vectors, ["list_id", "block_id"])
-    return found.select("qid", "ref_id", "label", "tau", _distance().alias("d")).filter("d <= tau").drop("tau")
+
+def _unprobed_mask(batch: pa.RecordBatch, ids: np.ndarray) -> np.ndarray:
+    probed = batch.column(batch.schema.get_field_index("probed"))
+    rest = np.ones((batch.num_rows, len(ids)), bool)
+    counts = np.nan_to_num(probed.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    rest[np.repeat(np.arange(batch.num_rows), counts), np.searchsorted(ids, probed.flatten().to_numpy())] = False
+    return rest
 
 
 def unprobed(queries: DataFrame, index: Index, probes: DataFrame) -> DataFrame:
-    """Lists that a query hasn't probed, with cd."""
-    return centre_distances(queries, index).join(probes.select("qid", "list_id"), ["qid", "list_id"], "left_anti")
+    """qid, list_id, cd of the lists that a query hasn't probed."""
+
+    def choose(batch: pa.RecordBatch, ids: np.ndarray, cd: np.ndarray) -> list:
+        q, at = np.nonzero(_unprobed_mask(batch, ids))
+        return [batch.column(0).to_numpy()[q], ids[at], cd[q, at]]
+
+    return _to_centres(index, _with_probed(queries, probes), "qid long, list_id int, cd float", choose)
+
+
+def candidate_lists(queries: DataFrame, index: Index, probes: DataFrame, tau: DataFrame) -> DataFrame:
+    """qid, list_id, cd, tau of the unprobed lists that can hold a neighbour: cd - radius <= sqrt(tau)."""
+    sizes = {r["list_id"]: r["radius"] for r in index.lists.select("list_id", "radius").limit(MAX_NLIST).collect()}  # empty lists aren't among them
 
+    def choose(batch: pa.RecordBatch, ids: np.ndarray, cd: np.ndarray) -> list:
+        radius = np.array([sizes.get(int(i), -np.inf) for i in ids], np.float32)
+        tau = batch.column(batch.schema.get_field_index("tau")).to_numpy()
+        q, at = np.nonzero(_unprobed_mask(batch, ids) & (cd - radius <= (np.sqrt(tau) + SLACK)[:, None]) & np.isfinite(radius))
+        return [batch.column(0).to_numpy()[q], ids[at], cd[q, at], tau[q]]
 
-def candidate_lists(rest: DataFrame, index: Index, tau: DataFrame) -> DataFrame:
-    """Of unprobed lists, those that can hold a neighbour: cd - radius <= sqrt(tau)."""
-    joined = rest.join(F.broadcast(index.lists.select("list_id", "radius")), "list_id").join(tau, "qid")
-    return joined.filter(F.col("cd") - F.col("radius") <= F.sqrt("tau") + SLACK)
+    return _to_centres(index, _with_probed(queries, probes).join(tau, "qid"), "qid long, list_id int, cd float, tau double", choose)
 
 
 def candidate_blocks(lists: DataFrame, index: Index) -> DataFrame:
     """Of candidate lists, the blocks whose radii meet [cd - sqrt(tau), cd + sqrt(tau)]."""
     reach = F.sqrt("tau") + SLACK
     blocks = index.blocks.select("list_id", "block_id", "min_radius", "max_radius")
-    return lists.drop("radius").join(blocks, "list_id").filter((F.col("max_radius") >= F.col("cd") - reach) & (F.col("min_radius") <= F.col("cd") + reach))
+    return lists.join(blocks, "list_id").filter((F.col("max_radius") >= F.col("cd") - reach) & (F.col("min_radius") <= F.col("cd") + reach))
 
 
 def taus(first: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
@@ -244,13 +352,11 @@ def ivf_steps(queries: DataFrame, index: Index, k: int = K, nprobe: int = NPROBE
         probes = timed("adapt", needed_probes(probes, queries, index, k))
     first = timed("probe", _probe_scan(queries, probes, index, k))
     tau = taus(first, queries, k)
-    lists = candidate_lists(unprobed(queries, index, probes), index, tau)
-    blocks = timed("build", candidate_blocks(lists, index))
-    more = _block_scan(blocks, queries, index)
-    both = first.drop("rank").unionByName(more)
+    lists = timed("build", candidate_lists(queries, index, probes, tau))
+    both = first.drop("rank").unionByName(_list_scan(queries, lists, index, k))
     result = top(both, k).select("qid", "rank", "ref_id", "label", "d")
     seconds = queries.sparkSession.createDataFrame(timings, "phase string, seconds double")
-    return {"probes": probes, "first": first, "tau": tau, "lists": lists, "blocks": blocks, "result": result, "timings": seconds}
+    return {"probes": probes, "first": first, "tau": tau, "lists": lists, "blocks": candidate_blocks(lists, index), "result": result, "timings": seconds}
 
 
 def phase_timings(queries: DataFrame, index: Index, k: int = K, nprobe: int = NPROBE, adaptive: bool = False) -> DataFrame:

@@ -145,3 +145,33 @@ def test_closing_frees_an_index(spark, refs):
     assert index_store.ready(spark, made.path)
     made.close()
     assert not index_store.ready(spark, made.path)
+
+
+@pytest.mark.parametrize("limited", [False, True])
+def test_bounded_distances_lose_nothing(limited):
+    """More queries and references than a tile, in uneven batches, with ties, against every distance."""
+    q, r = rows_of(700, 3), rows_of(9000, 4)
+    r[4000:4300] = q[7]  # ties over a tile's end
+    ids = np.random.default_rng(5).permutation(len(r)).astype(np.int64)
+    limit = np.full(len(q), 0.4, np.float32) if limited else None
+    best = knn._Best(q, 5, limit)
+    for begin, end in [(0, 3), (3, 5000), (5000, 5000), (5000, 9000)]:
+        best.add(r[begin:end], ids[begin:end], ids[begin:end].astype(np.int32) % 2)
+    got = list(zip(*(c.to_pylist() for c in best.found(np.arange(len(q)))), strict=True))
+    want = []
+    for i, x in enumerate(q):
+        d = np.zeros(len(r), np.float32)
+        for s in range(14):
+            gap = x[s] - r[:, s]
+            d += gap * gap
+        first = [k for k in np.lexsort([ids, d])[:5] if limit is None or d[k] <= limit[i]]
+        want += [(i, int(ids[k]), int(ids[k]) % 2, float(d[k])) for k in first]
+    assert got == want
+
+
+def test_bounded_distances_skip_missing_slots():
+    q, r = rows_of(3, 6), rows_of(40, 7)
+    q[1, 4] = np.nan
+    best = knn._Best(q, 5)
+    best.add(r, np.arange(40), np.zeros(40, np.int32))
+    assert set(best.found(np.arange(3))[0].to_pylist()) == {0, 2}

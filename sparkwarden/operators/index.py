@@ -119,9 +119,19 @@ def kmeans(points: DataFrame, k: int = NLIST, iterations: int = ITERATIONS, seed
 
 
 def layout(assigned: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``assigned`` with place (0.. in its list, by radius) and block_id."""
-    order = Window.partitionBy("list_id").orderBy("radius", "ref_id")
-    return assigned.withColumn("place", F.row_number().over(order) - 1).withColumn("block_id", F.floor(F.col("place") / block).cast("int"))
+    """``assigned`` with place (0.. in its list, by radius) and block_id.
+
+    Rows are sorted by ranges and counted for each list and range, so a list
+    of any size is laid out by many tasks. ``assigned`` is read twice.
+    """
+    order = ["list_id", "radius", "ref_id"]
+    sorted_rows = kept(assigned.sort(*order).withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id() % (1 << 33)}), "ordered")
+    runs = sorted_rows.groupBy("list_id", "__part").agg(F.min("__at").alias("__begin"), F.count("*").alias("__n"))
+    before = Window.partitionBy("list_id").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select("list_id", "__part", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__begin")).alias("__shift"))
+    # ranges follow one another, so there are at most as many runs as lists and partitions
+    placed = sorted_rows.join(F.broadcast(runs), ["list_id", "__part"]).withColumn("place", (F.col("__at") + F.col("__shift")).cast("int"))
+    return placed.select(*assigned.columns, "place", F.floor(F.col("place") / block).cast("int").alias("block_id"))
 
 
 def list_stats(assigned: DataFrame, block: int = BLOCK) -> DataFrame:

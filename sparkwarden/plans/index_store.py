@@ -40,8 +40,8 @@ def build(refs: DataFrame, nlist: int = ops.NLIST, block: int = ops.BLOCK, sampl
         points = ops.decoded(refs)
         made = centroids if centroids is not None else ops.kmeans(ops.kept(ops.sample_exact(points, sample), "sample"), nlist, iterations)
         made.coalesce(1).write.parquet(f"{path}/centroids")
-        assigned = ops.assign(points, spark.read.parquet(f"{path}/centroids")).select("ref_id", "list_id", "radius")
-        # the same rows in the same order of ids: only ids and places pass through the shuffle of the layout
+        # only ids and places pass through the shuffle of the layout, which reads them twice
+        assigned = ops.kept(ops.assign(points, spark.read.parquet(f"{path}/centroids")).select("ref_id", "list_id", "radius"), "assigned")
         return ops.layout(assigned, block)
 
     places = settled(spark, laid_out, "layout")  # what training has kept goes with it

@@ -38,8 +38,10 @@ GROUP_BLOCKS, GROUP_QUERIES = 64, 16_384
 TILE = 512, 4096
 #: Slack for bounds whose radii and distances were rounded to single precision.
 SLACK = 1e-5
-#: Rounding of a matrix product against the distance added slot by slot, as a share of both squared norms: 16 terms of 2^-24 each, with room.
-ROUNDING = np.float32(2e-5)
+#: Rounding of a matrix product against the distance added slot by slot, as a share of both squared norms: so many epsilons a term, with room.
+ROUNDING = 12
+#: Numbers in the vectors of one block of ``array_neighbours``: 64 MB.
+ARRAY_BLOCK = 1 << 23
 # Fixed values.
 #: Probes that are always made, and the share of a centre's squared distance under which tau spares a further one.
 SURE_PROBES, SPARE_SHARE = 3, 0.75
@@ -80,19 +82,20 @@ def _decode(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
 
 
 class _Best:
-    """The k nearest references so far of some queries, none farther than ``limit``.
+    """The k nearest references so far of some queries, none farther than ``limit`` or with the query's ``own`` id.
 
     A matrix product bounds distances from below and above; only pairs that
-    can be among the first k get their distance slot by slot.
+    can be among the first k get their distance slot by slot, in the matrix's precision.
     """
 
-    def __init__(self, matrix: np.ndarray, k: int, limit: np.ndarray | None = None):
-        n = len(matrix)
-        self.matrix, self.k = matrix, k
+    def __init__(self, matrix: np.ndarray, k: int, limit: np.ndarray | None = None, own: np.ndarray | None = None):
+        (n, slots), kind = matrix.shape, matrix.dtype.type
+        self.matrix, self.k, self.kind, self.own = matrix, k, kind, own
+        self.rounding = kind(ROUNDING * (slots + 2) * np.finfo(kind).eps)
         self.norm = (matrix * matrix).sum(1)
-        self.left = np.concatenate([matrix * np.float32(-2), self.norm[:, None], np.ones((n, 1), np.float32)], 1)
-        self.limit = np.full(n, np.inf, np.float32) if limit is None else limit
-        self.d = np.full((n, k), np.inf, np.float32)
+        self.left = np.concatenate([matrix * kind(-2), self.norm[:, None], np.ones((n, 1), kind)], 1)
+        self.limit = np.full(n, np.inf, kind) if limit is None else limit
+        self.d = np.full((n, k), np.inf, kind)
         self.ref, self.label = np.zeros((n, k), np.int64), np.zeros((n, k), np.int32)
 
     def add(self, slots: np.ndarray, ref: np.ndarray, label: np.ndarray, rows: np.ndarray | None = None) -> None:
@@ -101,22 +104,24 @@ class _Best:
         for at in range(0, len(ref), TILE[1]):
             part = slice(at, at + TILE[1])
             norm = (slots[part] * slots[part]).sum(1)
-            right = np.concatenate([slots[part], np.ones((len(norm), 1), np.float32), norm[:, None]], 1).T
+            right = np.concatenate([slots[part], np.ones((len(norm), 1), self.kind), norm[:, None]], 1).T
             for q0 in range(0, len(rows), TILE[0]):
                 self._tile(rows[q0 : q0 + TILE[0]], right, norm.max(), slots[part], ref[part], label[part])
 
     def _tile(self, rows: np.ndarray, right: np.ndarray, norm: np.float32, slots: np.ndarray, ref: np.ndarray, label: np.ndarray) -> None:
         k = self.k
         near = self.left[rows] @ right
-        slack = ROUNDING * (self.norm[rows] + norm)
+        if self.own is not None:
+            near[self.own[rows, None] == ref] = np.inf
+        slack = self.rounding * (self.norm[rows] + norm)
         worst = np.minimum(self.d[rows, -1], self.limit[rows])
         if len(ref) >= k and np.isinf(worst).any():
             some = near[:, : max(256, k)]
             worst = np.minimum(worst, np.partition(some, k - 1, axis=1)[:, k - 1] + slack)
-        q, at = np.nonzero(near <= (worst + slack)[:, None])
+        q, at = np.nonzero((near <= (worst + slack)[:, None]) & (near < np.inf))
         if not len(q):
             return
-        d = np.zeros(len(q), np.float32)
+        d = np.zeros(len(q), self.kind)
         for i in range(slots.shape[1]):
             gap = self.matrix[rows[q], i] - slots[at, i]
             d += gap * gap
@@ -163,13 +168,14 @@ def kernel(queries: DataFrame, refs: DataFrame, k: int = K, block: int = QUERY_B
     return top(_in_blocks(rows, search, block), k).select("qid", "rank", "ref_id", "label", "d")
 
 
-def _in_blocks(rows: DataFrame, search: Callable[[list], DataFrame], block: int) -> DataFrame:
-    """The union of ``search`` over blocks of the rows; the driver holds one block at a time."""
-    held, out = [], None
+def _in_blocks(rows: DataFrame, search: Callable[[list], DataFrame], block: int, size: Callable[[tuple], int] = lambda row: 1) -> DataFrame:
+    """The union of ``search`` over blocks of the rows, of ``block`` in all by ``size``; the driver holds one block at a time."""
+    held, room, out = [], block, None
     for row in rows.toLocalIterator():
         held.append(row)
-        if len(held) == block:
-            out, held = search(held) if out is None else out.union(search(held)), []
+        room -= size(row)
+        if room <= 0:
+            out, held, room = search(held) if out is None else out.union(search(held)), [], block
     return out if out is not None and not held else search(held) if out is None else out.union(search(held))
 
 
@@ -396,38 +402,48 @@ def fraud_counts(neighbours: DataFrame, queries: DataFrame) -> DataFrame:
     return queries.select("qid").join(counts, "qid", "left").select("qid", F.coalesce("fraud_count", F.lit(0)).alias("fraud_count"))
 
 
+def _of_length(lists: pa.ListArray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that are lists of this length, and these as a matrix; missing numbers are NaN."""
+    begin = lists.offsets.to_numpy()
+    rows = np.flatnonzero((np.diff(begin) == length) & lists.is_valid().to_numpy(zero_copy_only=False))
+    return rows, lists.values.to_numpy(zero_copy_only=False)[begin[rows, None] + np.arange(length)]
+
+
 def array_neighbours(queries: DataFrame, refs: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """q_id, rank, r_id, d: nearest other vectors of any dimension, squared distance in double.
+    """q_id, rank, r_id, d: nearest other vectors of the same dimension, squared distance in double.
 
-    Queries go to the tasks in blocks of QUERY_BLOCK; references stream past.
+    Queries go to the tasks in blocks of ARRAY_BLOCK numbers; references stream
+    past, and a task returns k rows a query. Rows without an id or a vector,
+    with a missing number or without a finite norm are nobody's neighbours and have none.
     """
     spark = queries.sparkSession
+    schema, names = "q_id long, r_id long, d double", ["q_id", "r_id", "d"]
 
     def search(held: list) -> DataFrame:
-        sent = spark.sparkContext.broadcast((np.array([r["i"] for r in held], np.int64), np.array([r["v"] for r in held], np.float64)))
+        ids, lists = np.array([r[0] for r in held], np.int64), pa.array([r[1] for r in held], pa.list_(pa.float64()))
+        lengths = sorted(set(lists.value_lengths().to_pylist()))
+        sent = spark.sparkContext.broadcast([(n, ids[rows], matrix) for n in lengths for rows, matrix in [_of_length(lists, n)]])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, matrix = sent.value
+            groups = [(n, ids, _Best(matrix, k, own=ids)) for n, ids, matrix in sent.value]
             for whole in batches:
-                for at in range(0, whole.num_rows, 2048):
-                    batch = whole.slice(at, 2048)
-                    ref = batch.column(0).to_numpy()
-                    vectors = np.array(batch.column(1).to_pylist(), np.float64)
-                    for i, v in zip(ids.tolist(), matrix, strict=True):
-                        gap = vectors - v
-                        d = (gap * gap).sum(1)
-                        d[ref == i] = np.inf
-                        place, far = _first(d, ref, k)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), i)), pa.array(ref[place]), pa.array(far)], names=["q_id", "r_id", "d"])
-
-        return refs.select(F.col(id_col).cast("long"), vector_col).mapInArrow(run, "q_id long, r_id long, d double")
-
-    rows = queries.select(F.col(id_col).cast("long").alias("i"), F.col(vector_col).alias("v"))
-    return top(_in_blocks(rows, search, QUERY_BLOCK), k, ("d", "r_id"), "q_id").select("q_id", "rank", "r_id", "d")
-
-
-def _first(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    at = np.flatnonzero(d <= (np.partition(d, k - 1)[k - 1] if len(d) > k else np.inf))
-    at = at[np.isfinite(d[at])]
-    at = at[np.lexsort([ids[at], d[at]])][:k]
-    return at, d[at]
+                for at in range(0, whole.num_rows, TILE[1]):
+                    batch = whole.slice(at, TILE[1])
+                    for n, _, best in groups:
+                        rows, vectors = _of_length(batch.column(1), n)
+                        sound = np.isfinite((vectors * vectors).sum(1))
+                        rows, vectors = rows[sound], vectors[sound]
+                        if len(rows):
+                            best.add(vectors, batch.column(0).to_numpy()[rows], np.zeros(len(rows), np.int32))
+            for _, ids, best in groups:
+                q_id, r_id, _, d = best.found(ids)
+                yield pa.RecordBatch.from_arrays([q_id, r_id, d], names=names)
+
+        return vectors_of(refs).mapInArrow(run, schema)
+
+    def vectors_of(df: DataFrame) -> DataFrame:
+        rows = df.select(F.col(id_col).cast("long").alias("i"), F.col(vector_col).cast("array<double>").alias("v"))
+        return rows.filter(F.col("i").isNotNull() & F.col("v").isNotNull())
+
+    found = _in_blocks(vectors_of(queries), search, ARRAY_BLOCK, lambda row: len(row[1]) + 1)
+    return top(found, k, ("d", "r_id"), "q_id").select("q_id", "rank", "r_id", "d")

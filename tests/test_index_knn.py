@@ -1,3 +1,5 @@
+from functools import reduce
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -175,3 +177,46 @@ def test_bounded_distances_skip_missing_slots():
     best = knn._Best(q, 5)
     best.add(r, np.arange(40), np.zeros(40, np.int32))
     assert set(best.found(np.arange(3))[0].to_pylist()) == {0, 2}
+
+
+def test_a_list_is_laid_out_over_several_ranges(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    data = [(i, int(k), float(r)) for i, (k, r) in enumerate(zip(rng.choice([1, 2, 2, 2, 2, 7], 500), rng.integers(0, 40, 500) / 8, strict=True))]
+    rows = spark.createDataFrame(data, "ref_id long, list_id int, radius float")
+    tables, keep = [], index.kept
+    monkeypatch.setattr(index, "kept", lambda df, name: tables.append(keep(df, name)) or tables[-1])
+    was = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        laid_out = index.layout(rows, 16)
+        assert tables[0].filter("list_id = 2").select("__part").distinct().count() > 1
+        got = {r.ref_id: (r.list_id, r.place, r.block_id) for r in laid_out.collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was)
+    want = {}
+    for key in {k for _, k, _ in data}:
+        members = sorted((r, i) for i, k, r in data if k == key)
+        want |= {i: (key, place, place // 16) for place, (_, i) in enumerate(members)}
+    assert got == want
+    assert index.layout(rows.limit(0), 16).collect() == []
+
+
+@pytest.mark.parametrize("block", [1 << 23, 40])
+def test_neighbours_of_vectors_by_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(knn, "ARRAY_BLOCK", block)
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(90, 6)), 1).astype(np.float32)  # coarse, so that distances tie
+    x[20:30] = x[20]
+    vectors = [[float(a) for a in v] for v in x]
+    rows = [*enumerate(vectors), (90, None), (None, vectors[0]), (91, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (92, [float("nan")] * 6), (93, [0.5, 0.5]), (94, [0.5, 0.7]), (95, []), (3, vectors[4])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {(r.q_id, r["rank"], r.r_id, r.d) for r in knn.array_neighbours(table.filter("vec_id % 5 = 0 or vec_id in (91, 93)"), table).collect()}
+    sound = [(i, np.array(v, np.float32).astype(float)) for i, v in rows if i is not None and v is not None and None not in v and not np.isnan(v).any()]
+    want = set()
+    for i, v in sound:
+        if i % 5 == 0 or i == 93:
+            # added one by one, as sum() of Python compensates
+            near = sorted((reduce(lambda d, gap: d + gap * gap, (v - w).tolist(), 0.0), j) for j, w in sound if len(w) == len(v) and j != i)
+            want |= {(i, rank, j, d) for rank, (d, j) in enumerate(near[:5], 1)}
+    assert got == want
+    assert knn.array_neighbours(table.limit(0), table).collect() == [] and knn.array_neighbours(table, table.limit(0)).collect() == []

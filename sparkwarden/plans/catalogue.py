@@ -206,6 +206,13 @@ def known_merchant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.join(first, ["customer_id", "merchant_id"]).select("tx_id", (F.col("first.tx_id") != F.col("tx_id")).alias("merchant_known"))
 
 
+@query("SELECT event_id, event_type = 'purchase' AS is_purchase FROM events")
+def names_ignoring_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names in another case than the one that is looked for."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select("event_id", scalar.equal_ignoring_case(F.initcap("event_type"), F.lit("PURCHASE")).alias("is_purchase"))
+
+
 @query(_with(f"SELECT tx_id, {', '.join(SLOTS)} FROM (SELECT tx_id, {_QUANTIZED} FROM f)", _FEATURES))
 def quantize_u16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _features(spark, sf_dir).select("tx_id", *[scalar.quantize(F.col(s)).alias(s) for s in SLOTS])
@@ -411,6 +418,12 @@ def probe_lists_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.probe_lists(queries, _centroids_alone(refs), NPROBE).select("qid", "list_id", F.col("rank").cast("long").alias("rank"))
 
 
+@query(_with("SELECT ref_id, list_id, block_id, CAST(row_number() OVER (PARTITION BY list_id ORDER BY radius, ref_id) - 1 AS INTEGER) AS place FROM placed", _FEATURES, _REFS, _LISTS))
+def list_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each reference lies: its list, and its block and place there by distance to the centroid."""
+    return _index(_inputs(spark, sf_dir)[1]).vectors.select("ref_id", "list_id", "block_id", "place")
+
+
 @query(_with("SELECT qid, list_id FROM rest", _FEATURES, _REFS, _CENTRES, _PLANNED))
 def unprobed_lists_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, refs = _inputs(spark, sf_dir)
@@ -418,6 +431,16 @@ def unprobed_lists_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.unprobed(queries, built, kept(knn.probe_lists(queries, built, NPROBE), "probes")).select("qid", "list_id")
 
 
+@query(_with("SELECT qid, list_id, round(pow(greatest(CAST(cd - radius AS DOUBLE), 0), 2), 6) AS bound_sq FROM rest JOIN lists USING (list_id)", _FEATURES, _REFS, _LISTS, _PLANNED))
+def list_lower_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least squared distance from each query to a member of each list that it hasn't probed."""
+    queries, refs = _inputs(spark, sf_dir)
+    built = _index(refs)
+    rest = knn.unprobed(queries, built, kept(knn.probe_lists(queries, built, NPROBE), "probes"))
+    bounded = rest.join(F.broadcast(built.lists.select("list_id", "radius")), "list_id")  # a row a list
+    return bounded.select("qid", "list_id", F.round(scalar.lower_bound_sq(F.col("cd"), F.col("radius")), 6).alias("bound_sq"))
+
+
 @query(_with("SELECT qid, list_id FROM candidate", _FEATURES, _REFS, _LISTS, _PROBES))
 def candidate_lists_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, refs = _inputs(spark, sf_dir)

@@ -366,6 +366,33 @@ def test_neighbours_that_share_more_than_with_the_first(spark, monkeypatch, rows
     assert all(r.similarity == 1.0 and r.end - r.start >= 60 for r in got)
 
 
+@pytest.mark.parametrize("parts, width", [(1, 45), (20, 38), (20, 48)])
+def test_earlier_parts_do_not_hide_a_later_pair(spark, parts, width):
+    """The words at each place of a passage are in earlier documents too, one or many, none of which has all of it."""
+    r = random.Random(parts)
+    words = lambda n: [f"x{r.randint(0, 10**6)}" for _ in range(n)]
+    passage = words(60)
+    rows = [(i, " ".join(words(60) + passage[:width] + words(60) + passage[-width:] + words(60))) for i in range(parts)]
+    rows += [(100 + i, " ".join(words(70) + passage + words(80))) for i in range(3)]
+    got = {(g.doc_id, g.source_doc_id, g.start, g.end) for g in substring.passages(documents(spark, rows)).collect()}
+    assert {(101, 100, 70, 130), (102, 100, 70, 130)} == {g for g in got if g[0] >= 100}
+
+
+def test_no_edited_passage_is_left_to_chance(spark):
+    r = random.Random(3)
+    vocab = [f"v{i}" for i in range(5000)]
+    rows, k = [], 0
+    while k < 1000:
+        n = r.randint(51, 120)
+        p, q = edited(r, vocab, n, max(1, n // 50), ("change", "insert", "delete"))
+        x, y = shingles(p), shingles(q)
+        if min(len(p), len(q)) < 50 or p[:3] != q[:3] or p[-3:] != q[-3:] or len(x & y) < 0.8 * len(x | y):
+            continue
+        rows += [(k, " ".join([f"a{k}x{i}" for i in range(60)] + p)), (1000 + k, " ".join(q + [f"b{k}x{i}" for i in range(60)]))]
+        k += 1
+    assert {g.doc_id for g in substring.passages(documents(spark, rows)).collect()} == set(range(1000, 2000))
+
+
 @pytest.mark.parametrize("partitions", [1, 2])
 def test_both_copies_of_a_passage_in_one_document(spark, partitions):
     """However rows fall into slices, a later document loses each of its copies."""

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from sparkwarden.llm import common, components, simhash, substring, wordhash
 
@@ -277,6 +278,18 @@ def test_an_earlier_row_with_very_many_pairs(spark, monkeypatch):
     assert all(r.source_doc_id < r.doc_id and (r.start, r.end) == (20, 80) for r in got)
 
 
+def test_copies_are_looked_up_by_document(spark):
+    """What the documents of a slice have of its first one is a row or two each, not one a window; no place of it is lost."""
+    body = [f"k{i}" for i in range(600)]
+    rows = [(i, " ".join([f"p{i}x{k}" for k in range(30 + i)] + body)) for i in range(40)]
+    docs = documents(spark, rows).coalesce(1)
+    keyed = common.key_text(docs, "doc_id", "text").withColumn("text_key", common.content_key(F.col("text")))
+    pairs = substring._links(keyed, substring.CONTEXTS)[0].filter("rep_doc = 0").collect()
+    assert {r.doc_id for r in pairs} == set(range(1, 40)) and len(pairs) <= 4 * 39
+    assert all((x >> 32) - (x & 0xFFFFFFFF) == r.doc_id for r in pairs for x in r.anchors or [r.anchor])
+    assert {(g.doc_id, g.source_doc_id, g.start, g.end) for g in substring.passages(docs).collect()} == {(i, 0, 30 + i, 630 + i) for i in range(1, 40)}
+
+
 def edited(r, words, n, edits, kinds):
     """Two versions of a passage of n words, with as many edits, spread at random."""
     p = [r.choice(words) for _ in range(n)]

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .components import components
+from .components import Forest, components
 
 WORDS, SEED, BITS, RADIUS = 4, 42, 64, 4
 #: Most fingerprints of a tile, and of a tile inside it.
@@ -72,24 +72,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, "doc_id long, text_key long, fp long")
 
 
-class Forest:
-    """Links among n nodes, reduced to each node's least linked node."""
-
-    def __init__(self, n: int):
-        self.root = np.arange(n)
-
-    def link(self, a: np.ndarray, b: np.ndarray) -> None:
-        while True:
-            ra, rb = self.root[a], self.root[b]
-            apart = ra != rb
-            if not apart.any():
-                return
-            a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
-            np.minimum.at(self.root, np.maximum(ra, rb), np.minimum(ra, rb))
-            while (self.root != (up := self.root[self.root])).any():
-                self.root = up
-
-
 def _small_tiles(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order by quarters' bit counts, and the least and largest of these in each small tile."""
     quarters = np.bitwise_count(fp.view(np.uint16).reshape(-1, 4)).astype(np.int16)

@@ -107,6 +107,23 @@ def test_long_paths(spark):
     assert got == {i: 0 for i in range(1, 201)} | {1000: 500, 1001: 500}
 
 
+@pytest.mark.parametrize("task_edges", [0, 1 << 20])
+def test_few_edges_take_one_task(spark, monkeypatch, task_edges):
+    """The same components either way; a small table isn't written round after round."""
+    r = random.Random(8)
+    pairs = [(i + 1, i) for i in range(60)] + [tuple(sorted(r.sample(range(-500, 500), 2), reverse=True)) for _ in range(300)]
+    label = {x: x for p in pairs for x in p}
+    while any(label[u] != label[v] for u, v in pairs):
+        for u, v in pairs:
+            label[u] = label[v] = min(label[u], label[v])
+    written, kept = [], common.written
+    monkeypatch.setattr(common, "written", lambda df, name: written.append(name) or kept(df, name))
+    monkeypatch.setattr(components, "TASK_EDGES", task_edges, raising=False)
+    got = {r.u: r.v for r in components.components(spark.createDataFrame(pairs + pairs, "u long, v long")).collect()}
+    assert got == {x: y for x, y in label.items() if x != y}
+    assert len(written) == 2 or task_edges == 0
+
+
 def test_one_of_each_group_stays(spark):
     base = " ".join(f"w{i}" for i in range(300))
     rows = [(3, base), (1, base), (2, base + " end"), (9, "quite another text of some words"), (9, "quite another text of some words"), (None, "nameless text")]
